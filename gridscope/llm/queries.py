@@ -23,6 +23,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscope.llm.gif import decode_media, digest, encode_texts
+
+    return digest(decode_media(encode_texts(table(spark, sf_dir, "documents"))))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscope.llm.mixing import mix
 
@@ -52,6 +58,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_gif": op2_gif,
     "op3_mixing": op3_mixing,
     "op7_chat": op7_chat,
     "op9_warc": op9_warc,
