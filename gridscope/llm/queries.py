@@ -49,6 +49,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(more.withColumn("turn", F.col("turn").cast("long")))))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscope.llm.imi import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscope.llm.warc import round_trip
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_gif": op2_gif,
     "op3_mixing": op3_mixing,
     "op7_chat": op7_chat,
+    "op8_multi_index": op8_multi_index,
     "op9_warc": op9_warc,
 }
 SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_chat": chat.SQL, "op9_warc": warc.SQL}
