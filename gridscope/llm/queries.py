@@ -36,6 +36,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscope.llm.toxicity import detect, held_out
+
+    got = detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscope.llm.chat import format_chats, read_back
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_gif": op2_gif,
     "op3_mixing": op3_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_multi_index": op8_multi_index,
     "op9_warc": op9_warc,
