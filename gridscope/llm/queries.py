@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscope.llm import chat, mixing, warc
+from gridscope.llm import chat, licenses, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscope.llm.toxicity import detect, held_out
 
@@ -73,9 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_gif": op2_gif,
     "op3_mixing": op3_mixing,
+    "op4_licenses": op4_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_multi_index": op8_multi_index,
     "op9_warc": op9_warc,
 }
-SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op7_chat": chat.SQL, "op9_warc": warc.SQL}
+SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_licenses": licenses.SQL, "op7_chat": chat.SQL, "op9_warc": warc.SQL}
