@@ -40,6 +40,16 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+#: The model file that queries use; operators take any path.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscope.llm.pieces import digests, load
+
+    return digests(table(spark, sf_dir, "documents"), load(PIECE_MODEL)).withColumnRenamed("id", "doc_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscope.llm.toxicity import detect, held_out
 
@@ -78,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_gif": op2_gif,
     "op3_mixing": op3_mixing,
     "op4_licenses": op4_licenses,
+    "op5_pieces": op5_pieces,
     "op6_toxicity": op6_toxicity,
     "op7_chat": op7_chat,
     "op8_multi_index": op8_multi_index,
