@@ -14,6 +14,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -149,16 +150,12 @@ class Pieces:
                     out[i] = ids
         return out
 
-    def _pieces_of(self, words: list[str], bounds: list[np.ndarray], ids: list[np.ndarray]) -> list[list[int]]:
+    def _pieces_of(self, words: list[str], bounds: list[list[int]], ids: list[list[int]]) -> list[list[int]]:
         out = []
         for w, b, p in zip(words, bounds, ids):
-            if (p >= 0).all():
-                out.append(p.tolist())
-                continue
-            got: list[int] = []
-            for s, e, i in zip(b[:-1].tolist(), b[1:].tolist(), p.tolist()):
-                got += [i] if i >= 0 else self._strange(w[s:e])
-            out.append(got)
+            if -1 in p:
+                p = [x for s, e, i in zip(b, b[1:], p) for x in ([i] if i >= 0 else self._strange(w[s:e]))]
+            out.append(p)
         return out
 
     def _strange(self, text: str) -> list[int]:
@@ -167,7 +164,7 @@ class Pieces:
             return [self.bytes[b] for b in text.encode()]
         return [self.unknown] * len(text)
 
-    def _viterbi(self, words: list[str], n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def _viterbi(self, words: list[str], n: int) -> tuple[list[list[int]], list[list[int]]]:
         """Best segmentations of words of n characters by the sum of scores; of equals, the longest last piece."""
         h, powers = _prefix_hashes(words, n)
         rows = np.arange(len(words))
@@ -185,18 +182,18 @@ class Pieces:
         for r in range(len(words)):
             e, b, p = n, [n], []
             while e:
-                p.append(piece[r, e])
+                p.append(int(piece[r, e]))
                 e = int(back[r, e])
                 b.append(e)
-            bounds.append(np.array(b[::-1]))
-            ids.append(np.array(p[::-1], np.int64))
+            bounds.append(b[::-1])
+            ids.append(p[::-1])
         return bounds, ids
 
-    def _merge(self, words: list[str], n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def _merge(self, words: list[str], n: int) -> tuple[list[list[int]], list[list[int]]]:
         """Byte-pair merges of words of n characters, one a step in each word that has one."""
         h, powers = _prefix_hashes(words, n)
-        bounds: list[np.ndarray] = [np.zeros(0)] * len(words)
-        ids: list[np.ndarray] = [np.zeros(0)] * len(words)
+        bounds: list[list[int]] = [[]] * len(words)
+        ids: list[list[int]] = [[]] * len(words)
         live, cut = np.arange(len(words)), np.tile(np.arange(n + 1), (len(words), 1))
         while len(live):
             m = cut.shape[1] - 1
@@ -214,8 +211,8 @@ class Pieces:
                 s, e = cut[done, :-1], cut[done, 1:]
                 at, there = self.probe(h[live[done][:, None], e] - h[live[done][:, None], s] * powers[e - s])
                 got = np.where(there, self.ids[at], -1)
-                for k, i in enumerate(live[done].tolist()):
-                    bounds[i], ids[i] = cut[np.flatnonzero(done)[k]], got[k]
+                for i, b, p in zip(live[done].tolist(), cut[done].tolist(), got.tolist()):
+                    bounds[i], ids[i] = b, p
             keep = np.ones((int(go.sum()), m + 1), bool)
             keep[np.arange(len(keep)), top[go] + 1] = False
             cut = cut[go][keep].reshape(len(keep), m)
@@ -268,7 +265,7 @@ class Pieces:
         place = {u: i for i, u in enumerate(distinct)}
         found = [memory[u] for u in distinct]
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.int32, int(lens.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))
         at = np.cumsum(lens) - lens
         return [_gather(flat, at, lens, np.fromiter(map(place.__getitem__, u), np.int64, len(u))) for u in cut]
 
@@ -295,11 +292,11 @@ def _hash_of(text: str) -> int:
 
 def _prefix_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     code = np.array(["".join(words)]).view(np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
-    h, powers = np.zeros((len(words), n + 1), np.uint64), np.ones(n + 1, np.uint64)
+    h, powers = np.zeros((len(words), n + 1), np.uint64), np.full(n + 1, BASE, np.uint64)
+    powers[0] = 1
     for i in range(n):
         h[:, i + 1] = h[:, i] * BASE + code[:, i]
-        powers[i + 1] = powers[i] * BASE
-    return h, powers
+    return h, np.multiply.accumulate(powers)
 
 
 def load(path: str) -> Pieces:
