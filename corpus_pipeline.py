@@ -1,25 +1,62 @@
-"""The corpus pipeline: documents through five stages, each one operator."""
+"""The corpus pipeline: documents through five stages, each one operator, rejected documents leave.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridscope.llm import langid, pieces, toxicity
+from gridscope.llm.mixing import mix_documents
+from gridscope.llm.queries import PIECE_MODEL, table
 from gridscope.llm.simhash import drop_near_duplicates
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic leave."""
+    found = toxicity.detect(docs, table(spark, sf_dir, "labels"))
+    return found.where("toxic_predicted = 0").select(*docs.columns)
+
+
+def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text fits no known language leave."""
+    return langid.keep_known(docs, langid.fit(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by target weights, documents repeated by epochs."""
+    return mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids, and the number of tokens of each document."""
+    found = pieces.encode_column(docs, pieces.load(PIECE_MODEL), decoded=None)
+    return found.selectExpr("doc_id", "lang", "source", "token_ids", "size(token_ids) AS n_tokens")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_languages),
+    ("near_dedup", near_dedup),
+    ("mixing", mix),
+    ("encode", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows that STAGES make of documents."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
 
 
+#: Trained models and bit signatures have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None

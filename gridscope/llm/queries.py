@@ -83,6 +83,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridscope.llm import langid
+
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    got = langid.identify_pages(table(spark, sf_dir, "pages"), model)
+    return got.select(F.col("id").alias("page_id"), "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host", "n_grams")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_gif": op2_gif,
@@ -93,5 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": op7_chat,
     "op8_multi_index": op8_multi_index,
     "op9_warc": op9_warc,
+    "op10_language": op10_language,
 }
 SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_licenses": licenses.SQL, "op7_chat": chat.SQL, "op9_warc": warc.SQL}
