@@ -95,3 +95,10 @@ def page_range(text: str) -> tuple[int, int | None]:
 def significant(x: Column, digits: int = 7) -> Column:
     """Shortest text with so many significant digits; an empty string for what isn't finite."""
     return F.when(finite(x), F.format_string(f"%.{digits - 1}e", x).cast("double").cast("string")).otherwise("")
+
+
+def rounded(x: Column | str, digits: int) -> Column:
+    """Nearest multiple of 10^-digits by binary arithmetic, halves away from 0, never -0: as DuckDB rounds doubles."""
+    c = F.col(x) if isinstance(x, str) else x
+    scale = float(10**digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + F.lit(0.0)

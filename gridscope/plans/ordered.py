@@ -23,7 +23,7 @@ SELECT user_id, k::BIGINT AS session, count(*) AS n, round(max(s) - min(s), 3) A
 def _(s, d):
     e = t.read(s, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
     c = windows.gap_clusters(e, "s", 3600, ["user_id"], "session")
-    return c.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.round(F.max("s") - F.min("s"), 3).alias("seconds"))
+    return c.groupBy("user_id", "session").agg(F.count("*").alias("n"), fn.rounded(F.max("s") - F.min("s"), 3).alias("seconds"))
 
 
 @query("f2_assign_clusters", f"WITH {_LINES} SELECT id, line AS cluster FROM lp")
@@ -180,7 +180,7 @@ def _(s, d):
 
 @query("g7_best_of", f"WITH {MEAS}, r AS (SELECT page, method, count(*) FILTER (NOT valid) AS need, round(stddev_pop(value), 6) AS noise FROM meas GROUP BY 1, 2) SELECT page, arg_min(method, (need, noise, method)) AS best FROM r GROUP BY 1")
 def _(s, d):
-    r = t.measurements(s, d).groupBy("page", "method").agg(F.count_if(~F.col("valid")).alias("need"), F.round(F.stddev_pop("value"), 6).alias("noise"))
+    r = t.measurements(s, d).groupBy("page", "method").agg(F.count_if(~F.col("valid")).alias("need"), fn.rounded(F.stddev_pop("value"), 6).alias("noise"))
     return orders.best_of(r, "page", "need", "noise", "method")
 
 
@@ -237,7 +237,7 @@ def _(s, d):
 @query("i_math", f"WITH {PTS} SELECT id, round(sqrt(x) + exp(-y / 50) + ln(x + 1), 6) AS a, round(degrees(atan2(y, x)), 6) AS angle, round_even(x * 2, 0)::BIGINT AS r, floor(x)::BIGINT AS f, ceil(x)::BIGINT AS c, gcd(id, 36) AS g FROM pts")
 def _(s, d):
     gcd = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(F.col("id").alias("a"), F.lit(36).cast("long").alias("b")), lambda a, _: F.when(a["b"] == 0, a).otherwise(F.struct(a["b"].alias("a"), F.try_mod(a["a"], a["b"]).alias("b"))))["a"]
-    return t.points(s, d).select("id", F.round(F.sqrt("x") + F.exp(-F.col("y") / 50) + F.log(F.col("x") + 1), 6).alias("a"), F.round(F.degrees(F.atan2("y", "x")), 6).alias("angle"), F.rint(F.col("x") * 2).cast("long").alias("r"), F.floor("x").alias("f"), F.ceil("x").alias("c"), gcd.alias("g"))
+    return t.points(s, d).select("id", fn.rounded(F.sqrt("x") + F.exp(-F.col("y") / 50) + F.log(F.col("x") + 1), 6).alias("a"), fn.rounded(F.degrees(F.atan2("y", "x")), 6).alias("angle"), F.rint(F.col("x") * 2).cast("long").alias("r"), F.floor("x").alias("f"), F.ceil("x").alias("c"), gcd.alias("g"))
 
 
 @query("i_interpolate", f"WITH {PTS}, a AS (SELECT y, x AS px, d AS pd FROM (SELECT y, x, min(d) AS d FROM pts GROUP BY 1, 2)), w AS (SELECT DISTINCT y, 50.5::DOUBLE AS x FROM pts), b AS (SELECT w.y, w.x, max(px) FILTER (px <= w.x) AS x0, min(px) FILTER (px >= w.x) AS x1 FROM w JOIN a USING (y) GROUP BY 1, 2), v AS (SELECT b.*, (SELECT pd FROM a WHERE a.y = b.y AND px = coalesce(x0, x1)) AS v0, (SELECT pd FROM a WHERE a.y = b.y AND px = coalesce(x1, x0)) AS v1 FROM b) SELECT y AS line, x, round(CASE WHEN x0 IS NULL OR x1 IS NULL OR x0 = x1 THEN v0 ELSE v0 + (v1 - v0) * (x - x0) / (x1 - x0) END, 6) AS y FROM v")
@@ -255,7 +255,7 @@ def _(s, d):
 @query("i_array_map", f"WITH {MEAS} SELECT page, cell_id, round(max(value) FILTER (method = 'a'), 9) AS a, count(*) AS n, round(sum(value), 9) AS total FROM meas GROUP BY 1, 2")
 def _(s, d):
     m = t.measurements(s, d).groupBy("page", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "value"))).alias("m"))
-    return m.select("page", "cell_id", F.round(F.element_at("m", "a"), 9).alias("a"), F.size(F.map_keys("m")).cast("long").alias("n"), F.round(F.aggregate(F.array_sort(F.map_values("m")), F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+    return m.select("page", "cell_id", fn.rounded(F.element_at("m", "a"), 9).alias("a"), F.size(F.map_keys("m")).cast("long").alias("n"), fn.rounded(F.aggregate(F.array_sort(F.map_values("m")), F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
 
 
 # -- pixels -----------------------------------------------------------------------------------------
@@ -279,7 +279,7 @@ def _(s, d):
 @query("l6_flux_ratio", f"WITH {MEAS} SELECT page, cell_id, round(2 * sqrt(greatest(value, 0) / (100 - 5) / pi()) * 1.1, 6) AS cd FROM meas WHERE method = 'b' AND valid")
 def _(s, d):
     m = t.measurements(s, d).where("method = 'b' AND valid")
-    return m.select("page", "cell_id", F.round(F.sqrt(F.greatest("value", F.lit(0.0)) / (100 - 5) / F.pi()) * 2 * 1.1, 6).alias("cd"))
+    return m.select("page", "cell_id", fn.rounded(F.sqrt(F.greatest("value", F.lit(0.0)) / (100 - 5) / F.pi()) * 2 * 1.1, 6).alias("cd"))
 
 
 @query("l22_polygon_area", f"WITH {PTS}, v AS (SELECT g, p % 50 AS c, row_number() OVER (PARTITION BY g, p % 50 ORDER BY atan2(y - 25, x - 40), id) AS k, x, y FROM pts), n AS (SELECT g, c, x, y, coalesce(lead(x) OVER w, first(x) OVER (PARTITION BY g, c ORDER BY k)) AS nx, coalesce(lead(y) OVER w, first(y) OVER (PARTITION BY g, c ORDER BY k)) AS ny FROM v WINDOW w AS (PARTITION BY g, c ORDER BY k)), a AS (SELECT g, c, abs(sum(x * ny - nx * y)) / 2 AS area, max(x) - min(x) AS cd_x, max(y) - min(y) AS cd_y, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) AS perimeter FROM n GROUP BY 1, 2) SELECT g, c, round(area, 6) AS area, round(cd_x, 6) AS cd_x, round(cd_y, 6) AS cd_y, round(perimeter, 6) AS perimeter, round(2 * sqrt(area / pi()), 6) AS cd_equivalent FROM a")
@@ -313,7 +313,7 @@ def _(s, d):
 @query("p5_pitch_residuals", f"WITH {PTS} SELECT id, round_even((x - 1) / 2.5, 0)::BIGINT AS index, round(x - (1 + round_even((x - 1) / 2.5, 0) * 2.5), 6) AS residual FROM pts")
 def _(s, d):
     i, r = pitch.residual_to_grid(F.col("x"), F.lit(2.5), F.lit(1.0))
-    return t.points(s, d).select("id", i.alias("index"), (F.round(r, 6) + 0.0).alias("residual"))
+    return t.points(s, d).select("id", i.alias("index"), fn.rounded(r, 6).alias("residual"))
 
 
 @query("p6_line_residuals", f"""WITH {_LINES}, q AS (SELECT *, min(x) OVER (PARTITION BY line) AS x0 FROM lp), i AS (SELECT id, line, x, round_even((x - x0) / 0.5, 0)::BIGINT AS k FROM q), f AS (SELECT line, count(*) AS n, min(k) AS a, max(k) AS z, regr_slope(x, k::DOUBLE) AS s, regr_intercept(x, k::DOUBLE) AS c, avg(x) AS m FROM i GROUP BY 1)
@@ -383,7 +383,7 @@ def _(s, d):
 
 @query("g1_top_periods", f"WITH {_VEC}, {_DFT} SELECT vec_id, round(f / 64, 6) AS frequency, round(amplitude, 6) AS amplitude, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(amplitude, 9) DESC, f) AS rank FROM g) WHERE rank <= 5")
 def _(s, d):
-    a = spectra.dft_amplitudes(_series(s, d), "y", "k", ["vec_id"]).withColumn("key", F.round("amplitude", 9))
+    a = spectra.dft_amplitudes(_series(s, d), "y", "k", ["vec_id"]).withColumn("key", fn.rounded("amplitude", 9))
     return r6(orders.top_k(a, "key", 5, ["vec_id"], ["frequency"]), "frequency", "amplitude").select("vec_id", "frequency", "amplitude", "rank")
 
 
@@ -405,7 +405,7 @@ h AS (SELECT *, atan2(2 * cs, cc - ss) / 2 AS u FROM g) SELECT event_type, frequ
 def _(s, d):
     e = t.read(s, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352).alias("x"), "value")
     f = s.range(1, 65).select((F.col("id") / 100).alias("frequency"))
-    return spectra.lomb_scargle(e, "x", "value", f, ["event_type"]).select("event_type", "frequency", F.round("power", 4).alias("power"))
+    return spectra.lomb_scargle(e, "x", "value", f, ["event_type"]).select("event_type", "frequency", fn.rounded("power", 4).alias("power"))
 
 
 @query("q8_apply_shift", f"""WITH {PX}, s AS (SELECT page, x + j AS x, y + i AS y, v * wy * wx AS v, wy * wx AS w FROM px, (VALUES (1, 0.75::DOUBLE), (2, 0.25)) a(i, wy), (VALUES (-3, 0.5::DOUBLE), (-2, 0.5)) b(j, wx)), g AS (SELECT page, x, y, sum(v) AS v, sum(w) AS w FROM s GROUP BY ALL) SELECT px.page, px.x, px.y, round(CASE WHEN w > 1 - 1e-9 THEN g.v ELSE 0 END, 6) AS v FROM px LEFT JOIN g USING (page, x, y)""")
@@ -421,4 +421,4 @@ def _(s, d):
 
 @query("r8_throughput", f"WITH {TM} SELECT worker, count(*) FILTER (status = 'ok') AS pages, round(count(*) FILTER (status = 'ok') / sum(measure_s), 6) AS pages_per_s FROM tm GROUP BY 1")
 def _(s, d):
-    return t.timings(s, d).groupBy("worker").agg(F.count_if(F.col("status") == "ok").alias("pages"), F.round(F.count_if(F.col("status") == "ok") / F.sum("measure_s"), 6).alias("pages_per_s"))
+    return t.timings(s, d).groupBy("worker").agg(F.count_if(F.col("status") == "ok").alias("pages"), fn.rounded(F.count_if(F.col("status") == "ok") / F.sum("measure_s"), 6).alias("pages_per_s"))

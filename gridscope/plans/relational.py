@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
     """Rounded to six digits, and no negative zero, for comparison."""
-    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+    return df.withColumns({n: fn.rounded(n, 6) for n in names})
 
 
 PTS, SEEDS, TRUTH, PX, MEAS, LAT, TM = t.POINTS, t.SEEDS, t.TRUTH, t.PIXELS, t.MEASUREMENTS, t.LATTICE, t.TIMINGS
@@ -84,7 +84,7 @@ def _(s, d):
 
 @query("a13_grayscale", f"WITH {PTS} SELECT id, round(0.2126 * x + 0.7152 * y + 0.0722 * d, 6) AS gray FROM pts")
 def _(s, d):
-    return t.points(s, d).select("id", F.round(fn.luminance(F.col("x"), F.col("y"), F.col("d")), 6).alias("gray"))
+    return t.points(s, d).select("id", fn.rounded(fn.luminance(F.col("x"), F.col("y"), F.col("d")), 6).alias("gray"))
 
 
 # -- filters ----------------------------------------------------------------------------------------
@@ -138,7 +138,7 @@ def _(s, d):
 @query("c7_finite", f"WITH {PTS} SELECT g, count(*) AS n, count(*) FILTER (d > 0) AS finite, round(avg(x / nullif(d, 0)), 6) AS mean FROM pts GROUP BY g")
 def _(s, d):
     v = fn.clean(F.when(F.col("d") == 0, float("inf")).otherwise(F.try_divide(F.col("x"), F.col("d"))))
-    return t.points(s, d).groupBy("g").agg(F.count("*").alias("n"), F.count(v).alias("finite"), F.round(F.avg(v), 6).alias("mean"))
+    return t.points(s, d).groupBy("g").agg(F.count("*").alias("n"), F.count(v).alias("finite"), fn.rounded(F.avg(v), 6).alias("mean"))
 
 
 @query("c8_failed_any_method", f"WITH {MEAS} SELECT page, cell_id, count(*) AS failed_methods FROM meas WHERE NOT valid GROUP BY 1, 2")
@@ -161,7 +161,7 @@ def _(s, d):
 def _(s, d):
     m = t.measurements(s, d)
     got = m.select("cell_id", "method", *[fn.calibrated(F.col("value"), 2.5, k, F.col("valid")).alias(n) for k, n in ((1, "length"), (2, "area"))])
-    return got.withColumns({n: F.round(n, 9) for n in ("length", "area")})
+    return got.withColumns({n: fn.rounded(n, 9) for n in ("length", "area")})
 
 
 @query("c11_accept", "SELECT event_id, coalesce(value < 5, false) AS accepted FROM events")
@@ -353,7 +353,7 @@ kp AS (SELECT line, median(d) AS pitch, count(*) AS kept FROM o0 JOIN ma USING (
 @query("e5_line_pitch", f"WITH {_LINES}, {_DIFFS} SELECT line, n, round(center, 6) AS center, round(pitch, 9) AS pitch, kept FROM (SELECT line, count(*) AS n, avg(y) AS center FROM lp GROUP BY 1) JOIN kp USING (line)")
 def line_pitch(s, d):
     got = stats.line_pitch(t.points(s, d).select("id", "x", "y"))
-    return got.select("line", "n", F.round("center", 6).alias("center"), F.round("pitch", 9).alias("pitch"), "kept")
+    return got.select("line", "n", fn.rounded("center", 6).alias("center"), fn.rounded("pitch", 9).alias("pitch"), "kept")
 
 
 _KNN = f"""v AS (SELECT nation, dx, dy FROM (SELECT a.nation, b.x - a.x AS dx, b.y - a.y AS dy, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS k FROM seeds a JOIN seeds b ON a.nation = b.nation AND a.id <> b.id) WHERE k <= 8 AND sqrt(dx * dx + dy * dy) >= 0.5)"""
