@@ -12,8 +12,9 @@ def neighbours(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     k = min(k, n - 1)
     if k < 1:
         return np.zeros((n, 0), int), np.zeros((n, 0))
+    x, y = points[:, 0].copy(), points[:, 1].copy()
     low, span = points.min(0), np.maximum(np.ptp(points, axis=0), 1e-9)
-    size = max(np.sqrt(span[0] * span[1] * max(k, 4) / n), span.max() / 2000, 1e-9)
+    size = max(np.sqrt(span[0] * span[1] * max(k, 4) / 2 / n), span.max() / 2000, 1e-9)
     while True:
         cell = np.floor((points - low) / size).astype(int)
         nx = cell[:, 0].max() + 3
@@ -31,18 +32,19 @@ def neighbours(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
             s = slice(at, at + max(1, 4_000_000 // (3 * width)))
             got = [np.where(np.arange(width) < (b[s] - a[s])[:, None], order[np.minimum(a[s, None] + np.arange(width), n - 1)], -1) for a, b in cand]
             c = np.concatenate(got, 1)
-            d = ((points[c] - points[s, None]) ** 2).sum(2)
+            d = (x[c] - x[s, None]) ** 2 + (y[c] - y[s, None]) ** 2
             d[(c < 0) | (c == np.arange(n)[s, None])] = np.inf
-            first = np.lexsort((c, d), axis=1)[:, :k]
-            index[s], dist[s] = np.take_along_axis(c, first, 1), np.take_along_axis(d, first, 1)
+            some = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+            c, d = np.take_along_axis(c, some, 1), np.take_along_axis(d, some, 1)
+            first = np.lexsort((c, d), axis=1)
+            index[s, : c.shape[1]], dist[s, : c.shape[1]] = np.take_along_axis(c, first, 1), np.take_along_axis(d, first, 1)
         if (dist[:, -1] <= size * size).all() or size >= span.max():
             return index, dist
         size *= 2
 
 
-def frame(points: np.ndarray, layout: str = "auto") -> tuple[float, float, float, bool]:
+def frame(points: np.ndarray, index: np.ndarray, layout: str = "auto") -> tuple[float, float, float, bool]:
     """(row slope, pitch x, pitch y, staggered) from nearest-neighbour vectors: the commonest small slope, then medians."""
-    index, _ = neighbours(points, 8)
     v = (points[index] - points[:, None]).reshape(-1, 2)
     v = v[np.isfinite(v).all(1) & ((v != 0).any(1))]
     along = v[np.abs(v[:, 1]) <= 0.35 * np.abs(v[:, 0])]
@@ -80,14 +82,14 @@ def index_points(points: np.ndarray, layout: str = "auto", tolerance: float = 0.
     if len(ok) < 2:
         return out
     q = p[ok]
-    slope, px, py, staggered = frame(q, layout)
+    index, _ = neighbours(q, 8)
+    slope, px, py, staggered = frame(q, index, layout)
     if hint:
         px, py = hint
     if not (np.isfinite(px) and np.isfinite(py)) or px <= 0 or py <= 0:
         return out
     c, s = np.cos(np.arctan(slope)), np.sin(np.arctan(slope))
     u = q @ np.array([[c, -s], [s, c]])
-    index, _ = neighbours(q, 8)
     a, b = np.repeat(np.arange(len(q)), index.shape[1]), index.ravel()
     d = u[b] - u[a]
     dr = np.rint(d[:, 1] / py)
