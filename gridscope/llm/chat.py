@@ -60,7 +60,7 @@ def format_chats(
     """One row per conversation: (conv_id, formatted, mask, turns).
 
     Turns go by number (null first; ties by role, then text); null roles and texts are
-    empty.  mask has (start, length) in code points of every learner text in the
+    empty.  mask has (start, length), in code points from 1, of every learner text in the
     formatted string, as rendered; turns are the source's (role, text).  A
     conversation's rows meet in one task, as its one formatted string must.  A null
     conv_id is a conversation; repeated rows are repeated turns; other columns are

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscope.llm import scratch
+from gridscope.llm.sampling import bounded_sample
 
 CENTROIDS = 32
 #: Rows that fit the codebooks: those with the smallest hashes of their ids.
@@ -116,7 +117,7 @@ def search(
         return empty
     width = int(sizes["n"])
     rows = rows.where(F.size("v") == width)
-    sample = rows.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(sample_rows).toPandas()
+    sample = bounded_sample(rows.select("id", "v"), ["id"], sample_rows).toPandas()
     points = np.array(sample["v"].tolist(), np.float64)
     cut = max(1, width // 2)
     books = [train(points[:, :cut], centroids), train(points[:, cut:], centroids)]

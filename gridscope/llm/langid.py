@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.llm import scratch
+from gridscope.llm.sampling import bounded_sample
 
 BUCKETS = 1 << 16
 #: Labelled rows that fit the trigram tables at most, the smallest hashes of their ids, texts up to SAMPLE_CHARS each.
@@ -85,8 +86,8 @@ def train(texts: list[str], languages: list[str]) -> Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """A model of the languages that labelled rows name, from a bounded sample of them."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    some = known.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.lower(F.col(lang_col)).alias("lang"))
-    got = some.orderBy("h", "id", "text").limit(rows).toPandas()
+    known = known.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.lower(F.col(lang_col)).alias("lang"))
+    got = bounded_sample(known, ["id", "lang"], rows).toPandas()
     return train(got["text"].tolist(), got["lang"].tolist())
 
 

@@ -310,27 +310,37 @@ def encode_column(docs: DataFrame, model: Pieces, text_col: str = "text", ids: s
     Null and empty texts have no ids and decode to an empty text.  All rows and
     columns stay, but for those named like the new ones.
     """
-    import pandas as pd
+    from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary: a few MB at most
+    src = docs.drop(ids, *[decoded] * bool(decoded))
+    kind = T.StructType([*src.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        kind = kind.add(decoded, T.StringType())
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.where(b.notna(), "").tolist()
-            got, part, size = [], [], 0
-            for i, t in enumerate(texts):
-                part.append(t)
-                size += len(t)
-                if size >= CHUNK_BYTES or i + 1 == len(texts):
-                    got += sent.value.encode(part)
-                    part, size = [], 0
-            yield pd.DataFrame({"ids": got, "decoded": [sent.value.decode(g) for g in got]})
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    made = F.pandas_udf(run, "ids array<int>, decoded string")
-    out = docs.drop(ids, *[decoded] * bool(decoded)).withColumn("__made", made(F.col(text_col).cast("string")))
-    out = out.withColumn(ids, F.col("__made.ids"))
-    return (out.withColumn(decoded, F.col("__made.decoded")) if decoded else out).drop("__made")
+            for rows, texts in _chunks(b, b.num_columns - 1):
+                got = sent.value.encode(texts)
+                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *got])))]
+                if decoded:
+                    made.append(pa.array([sent.value.decode(g) for g in got], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], names=kind.names)
+
+    return src.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, kind)
+
+
+def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Pieces of a batch of about CHUNK_BYTES characters in a column, and those texts (null: empty)."""
+    at = 0
+    while at < b.num_rows:
+        texts, size, first = [], 0, at
+        while at < b.num_rows and size < CHUNK_BYTES:
+            texts.append(b.column(column)[at].as_py() or "")
+            size += len(texts[-1])
+            at += 1
+        yield b.slice(first, len(texts)), texts
 
 
 def digests(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,18 +354,12 @@ def digests(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                texts, size, first = [], 0, at
-                while at < b.num_rows and size < CHUNK_BYTES:
-                    texts.append(b.column(1)[at].as_py() or "")
-                    size += len(texts[-1])
-                    at += 1
+            for part, texts in _chunks(b, 1):
                 rows = []
                 for t, ids in zip(texts, sent.value.encode(texts)):
                     back = sent.value.decode(ids)
                     rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), *(pa.array(c) for c in zip(*rows))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*rows))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

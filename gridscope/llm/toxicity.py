@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridscope.llm.sampling import bounded_sample
+
 ORDER = 3
 DECAY = 0.7
 #: Longest stretch of letters a subsequence may span; longer gaps weigh under DECAY ** MAX_SPAN.
@@ -26,7 +28,7 @@ MAX_SPAN = 6
 LANDMARKS = 160
 #: Labelled rows that training reads at most: those with the smallest hashes of their ids, texts up to SAMPLE_CHARS each.
 SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 10_000
 #: Words whose margins a process remembers.
 MEMORY_WORDS = 500_000
 #: Longer tokens are scored by overlapping pieces of this many letters.
@@ -106,13 +108,15 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernels; 0 where a word has fewer than ORDER letters."""
-    table = np.zeros((ALPHABET**ORDER, len(landmarks)), np.float32)
-    for which, code, w in subsequences(landmarks):
-        np.add.at(table, (code, which[:, None]), w.astype(np.float32))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for which, code, w in subsequences(words):
-        for part in np.array_split(np.arange(len(which)), -(-len(which) // 500)):
-            out[which[part]] = np.einsum("nt,ntl->nl", w[part].astype(np.float32), table[code[part]])
+    for at in range(0, len(landmarks), 32):  # bounds the table
+        some = landmarks[at : at + 32]
+        table = np.zeros((ALPHABET**ORDER, len(some)), np.float32)
+        for which, code, w in subsequences(some):
+            np.add.at(table, (code, which[:, None]), w)
+        for which, code, w in subsequences(words):
+            for part in np.array_split(np.arange(len(which)), -(-len(which) // 500)):
+                out[which[part], at : at + 32] = np.einsum("nt,ntl->nl", w[part], table[code[part]])
     return out
 
 
@@ -219,42 +223,47 @@ def train(texts: list[str | None], labels: list[int], n_landmarks: int = LANDMAR
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return Model(np.zeros(ALPHABET**ORDER, np.float32), -1.0, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), float(np.log(rate / (1 - rate))))
-    words = [sorted(set(units(t))) for t in texts]
+    ids: dict[str, int] = {}
+    words = [np.unique(np.fromiter([ids.setdefault(u, len(ids)) for u in units(t)], np.int32)) for t in texts]
+    vocabulary = list(ids)
     fold = np.arange(len(y)) % 2
     feats = np.zeros((len(y), FEATURES))
     for k in (0, 1):
         if len(set(y[fold != k].tolist())) < 2:
             fold[:] = 2  # too few labels to hold half of them out
             break
-        weights, bias = _word_machine([w for w, f in zip(words, fold) if f != k], y[fold != k], n_landmarks)
+        weights, bias = _word_machine(vocabulary, [w for w, f in zip(words, fold) if f != k], y[fold != k], n_landmarks)
         half = Model(weights, bias, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), 0.0)
-        feats[fold == k] = document_features([t for t, f in zip(texts, fold) if f == k], half.margins)
-    weights, bias = _word_machine(words, y, n_landmarks)
+        feats[fold == k] = _features_in_parts([t for t, f in zip(texts, fold) if f == k], half)
+    weights, bias = _word_machine(vocabulary, words, y, n_landmarks)
     whole = Model(weights, bias, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), 0.0)
     if (fold == 2).any():
-        feats = document_features(texts, whole.margins)
+        feats = _features_in_parts(texts, whole)
     mean, scale = feats.mean(0), feats.std(0) + 1e-6
     coef, odds = _logistic(_products((feats - mean) / scale), y.astype(float))
     return Model(weights, bias, coef, mean, scale, odds)
 
 
-def _word_machine(words: list[list[str]], y: np.ndarray, n_landmarks: int) -> tuple[np.ndarray, float]:
-    bad, good = {}, {}
-    for ws, label in zip(words, y.tolist()):
-        counts = bad if label else good
-        for w in ws:
-            counts[w] = counts.get(w, 0) + 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+def _features_in_parts(texts: list[str | None], model: Model) -> np.ndarray:
+    return np.concatenate([document_features(texts[i : i + 250], model.remembered) for i in range(0, len(texts), 250)])
 
-    def lift(w: str) -> float:
-        """Log odds of a toxic text given the word, less two standard errors."""
-        a, b = bad.get(w, 0) + 0.25, good.get(w, 0) + 0.25
-        return float(np.log(a / n1) - np.log(b / n0) - 2 * np.sqrt(1 / a + 1 / b) * 0.75)
 
-    ranked = sorted(((lift(w), w) for w in bad if len(w) >= ORDER), key=lambda p: (-p[0], p[1]))
-    positive = [w for v, w in ranked if v > 0][:1500] or [w for _, w in ranked[:10]]
-    chosen = set(positive)
-    negative = sorted((w for w in good if len(w) >= ORDER and w not in chosen), key=lambda w: (-good[w], w))[:12_000]
+def _word_machine(vocabulary: list[str], words: list[np.ndarray], y: np.ndarray, n_landmarks: int) -> tuple[np.ndarray, float]:
+    """Weights of letter triples and the bias, from the documents' sets of words (places in the vocabulary)."""
+    n = len(vocabulary)
+    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *[w for w, v in zip(words, y) if v == k]]), minlength=n) for k in (0, 1)]
+    good, bad = count
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    a, b = bad + 0.25, good + 0.25
+    # log odds of a toxic text given the word, less one and a half standard errors
+    lift = np.log(a / n1) - np.log(b / n0) - 1.5 * np.sqrt(1 / a + 1 / b)
+    long = np.fromiter((len(w) >= ORDER for w in vocabulary), bool, n)
+    seen = np.flatnonzero(long & (bad > 0))
+    place = sorted(seen[np.argsort(-lift[seen], kind="stable")[:3000]].tolist(), key=lambda i: (-lift[i], vocabulary[i]))
+    positive_at = [i for i in place if lift[i] > 0][:1500] or place[:10]
+    chosen = set(positive_at)
+    negative_at = [i for i in np.argsort(-good, kind="stable")[:16_000].tolist() if good[i] and long[i] and i not in chosen][:12_000]
+    positive, negative = [vocabulary[i] for i in positive_at], [vocabulary[i] for i in negative_at]
     if not positive or not negative:
         return np.zeros(ALPHABET**ORDER, np.float32), -1.0
     spread = negative[:: max(1, len(negative) // max(1, n_landmarks // 2))]
@@ -266,7 +275,7 @@ def _word_machine(words: list[list[str]], y: np.ndarray, n_landmarks: int) -> tu
     rows = positive + negative
     x = kernel(rows, landmarks).astype(np.float64) @ root
     label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    count = np.array([bad.get(w, 0) for w in positive] + [good[w] for w in negative], np.float64)
+    count = np.r_[bad[positive_at], good[negative_at]].astype(np.float64)
     weight = np.where(label > 0, np.sqrt(count) / np.sqrt(count[label > 0]).sum(), np.sqrt(count) / np.sqrt(count[label < 0]).sum()) * 500
     w, bias = _svm(x, label, weight)
     alpha = root @ w
@@ -290,10 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     # toxic rows are few: they may be half of the bound; the odds are set right by the true counts
-    first = known.withColumn("h", F.xxhash64("id"))
-    some = first.where("y = 1").orderBy("h", "id").limit(rows // 2).unionByName(first.where("y = 0").orderBy("h", "id").limit(rows // 2))
+    some = bounded_sample(known.where("y = 1"), ["id"], rows // 2).unionByName(bounded_sample(known.where("y = 0"), ["id"], rows // 2))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    got = text.join(F.broadcast(some), "id").orderBy("h", "id", "text").limit(rows).select("text", "y").toPandas()
+    got = text.join(F.broadcast(some.select("id", "y")), "id").orderBy(F.xxhash64("id"), "id", "text").limit(2 * rows).select("text", "y").toPandas()
     model = train(got["text"].tolist(), got["y"].tolist())
     true = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     used = got["y"].value_counts().to_dict()
