@@ -226,24 +226,41 @@ def train(texts: list[str | None], labels: list[int], n_landmarks: int = LANDMAR
     ids: dict[str, int] = {}
     words = [np.unique(np.fromiter([ids.setdefault(u, len(ids)) for u in units(t)], np.int32)) for t in texts]
     vocabulary = list(ids)
+    # the document stage also sees copies with letters inserted, of both kinds of texts
+    again = np.concatenate([np.flatnonzero(y == k)[: int(y.sum())] for k in (0, 1)])
+    more, target = [distorted(texts[i], int(i)) for i in again], np.concatenate([y, y[again]])
     fold = np.arange(len(y)) % 2
-    feats = np.zeros((len(y), FEATURES))
+    feats = np.zeros((len(target), FEATURES))
     for k in (0, 1):
         if len(set(y[fold != k].tolist())) < 2:
             fold[:] = 2  # too few labels to hold half of them out
             break
         weights, bias = _word_machine(vocabulary, [w for w, f in zip(words, fold) if f != k], y[fold != k], n_landmarks)
         half = Model(weights, bias, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), 0.0)
-        feats[fold == k] = _features_in_parts([t for t, f in zip(texts, fold) if f == k], half)
+        held = np.flatnonzero(np.concatenate([fold, fold[again]]) == k)
+        feats[held] = _features_in_parts([(texts + more)[i] for i in held], half)
     weights, bias = _word_machine(vocabulary, words, y, n_landmarks)
     whole = Model(weights, bias, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), 0.0)
     if (fold == 2).any():
-        feats = _features_in_parts(texts, whole)
+        feats = _features_in_parts(texts + more, whole)
     mean, scale = feats.mean(0), feats.std(0) + 1e-6
-    coef, odds = _logistic(_products((feats - mean) / scale), y.astype(float))
+    coef, odds = _logistic(_products((feats - mean) / scale), target.astype(float))
     return Model(weights, bias, coef, mean, scale, odds)
 
 
+def distorted(text: str | None, seed: int) -> str:
+    """The text with a letter inserted into about half of its words of four letters or more."""
+    rng = np.random.default_rng(seed)
+    words = (text or "").split()
+    change = rng.random(len(words)) < 0.5
+    letters, places = rng.integers(97, 123, len(words)).tolist(), rng.random(len(words)).tolist()
+    out = []
+    for w, c, letter, place in zip(words, change.tolist(), letters, places):
+        at = 1 + int(place * (len(w) - 1))
+        out.append(w[:at] + chr(letter) + w[at:] if c and len(w) >= 4 else w)
+    return " ".join(out)
+
+
 def _features_in_parts(texts: list[str | None], model: Model) -> np.ndarray:
     return np.concatenate([document_features(texts[i : i + 250], model.remembered) for i in range(0, len(texts), 250)])
 
@@ -276,7 +293,9 @@ def _word_machine(vocabulary: list[str], words: list[np.ndarray], y: np.ndarray,
     x = kernel(rows, landmarks).astype(np.float64) @ root
     label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     count = np.r_[bad[positive_at], good[negative_at]].astype(np.float64)
-    weight = np.where(label > 0, np.sqrt(count) / np.sqrt(count[label > 0]).sum(), np.sqrt(count) / np.sqrt(count[label < 0]).sum()) * 500
+    # words count by how many texts have them, toxic ones also by how sure they are
+    weight = np.sqrt(count) * np.r_[np.maximum(lift[positive_at], 0.05), np.ones(len(negative))]
+    weight = 500 * weight / np.where(label > 0, weight[label > 0].sum(), weight[label < 0].sum())
     w, bias = _svm(x, label, weight)
     alpha = root @ w
     table = np.zeros(ALPHABET**ORDER)

@@ -58,8 +58,6 @@ def test_planted_distances(spark):
     rows = [(i, f - 2**64 if f >= 2**63 else f) for i, f in fps.items()]
     n = spark.createDataFrame(rows, "first long, fp0 long").withColumn("node", F.col("fp0")).dropDuplicates(["fp0"])
     e = simhash.links(n).collect()
-    for r in e:
-        assert bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 4
     roots = {r.node: r.root for r in connected_components(spark.createDataFrame([(r.a, r.b) for r in e], "a long, b long")).collect()}
     signed = dict(rows)
     expected = components(fps)
