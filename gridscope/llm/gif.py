@@ -110,6 +110,13 @@ class GifError(ValueError):
 
 def parse_gif(data: bytes) -> dict:
     """Screen size, background and frames (position, palette, timing, disposal, transparency, code stream)."""
+    try:
+        return _parse(data)
+    except IndexError:
+        raise GifError("file breaks off") from None
+
+
+def _parse(data: bytes) -> dict:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("not a GIF")
     word = lambda at: int.from_bytes(data[at : at + 2], "little")
