@@ -171,6 +171,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     share[-1] = UNKNOWN_PRIOR
     domains = hosts.groupBy("domain").agg(F.array(*[F.sum(f"s{i}") for i in range(n)]).alias("in_domain"))
     hosts = hosts.select("host", "domain", F.array(*[f"s{i}" for i in range(n)]).alias("on_host")).join(domains, "domain")
+    hosts = scratch.save(hosts, "hosts")  # a table of its own, so that a hot host's rows can be split in the join below
     tables = [_table(rows, e, languages) for e in ("declared", "suffix")]
     own = F.transform("p", lambda x: x * weight)
 

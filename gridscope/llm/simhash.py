@@ -238,7 +238,8 @@ def near_duplicates(
     nodes = scratch.save(nodes, "nodes")
     roots = connected_components(links(nodes, lanes, segments, distance))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labelled = scratch.save(labelled, "labelled")  # tables of their own, so that a hot component can be split in the join
+    low = scratch.save(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     classes = labelled.join(low, "root").select(*names, "component_id")
     return prints.join(classes, names).select("id", *names, "component_id")
 
