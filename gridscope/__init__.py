@@ -1 +1,27 @@
 """gridscope: measurement analytics on pages, point sets and signals, written for Spark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors of a session, once, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "gridscope.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for top, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(top, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
