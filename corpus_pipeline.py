@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridscope import ship
 from gridscope.llm import langid, pieces, toxicity
 from gridscope.llm.mixing import mix_documents
 from gridscope.llm.queries import PIECE_MODEL, table
@@ -22,11 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text fits no known language leave."""
+    ship(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return drop_near_duplicates(docs)
 
 
@@ -37,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, and the number of tokens of each document."""
+    ship(spark)
     found = pieces.encode_column(docs, pieces.load(PIECE_MODEL), decoded=None)
     return found.selectExpr("doc_id", "lang", "source", "token_ids", "size(token_ids) AS n_tokens")
 
