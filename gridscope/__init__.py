@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -15,13 +17,14 @@ def ship(spark) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "gridscope.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for top, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(top, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="gridscope-")  # executors that come later fetch it too
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "gridscope.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
