@@ -381,3 +381,22 @@ def polygon_area(vertices: DataFrame, keys: Sequence[str], order: str) -> DataFr
         F.sum(F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))).alias("perimeter"),
     )
     return got.withColumn("cd_equivalent", F.sqrt(F.col("area") / F.pi()) * 2)
+
+
+def contour_rays(vertices: DataFrame, keys: Sequence[str], rays: int = 16) -> DataFrame:
+    """Mean radius of each outline's vertices in equal sectors around its vertex mean: (keys, ray, radius, n)."""
+    c = vertices.groupBy(*keys).agg(F.avg("x").alias("__cx"), F.avg("y").alias("__cy"))
+    v = vertices.join(c, list(keys))
+    dx, dy = F.col("x") - F.col("__cx"), F.col("y") - F.col("__cy")
+    turn = F.atan2(dy, dx) / (2 * F.pi()) * rays
+    ray = F.pmod(F.floor(turn + 0.5), F.lit(rays)).cast("int")
+    return v.groupBy(*keys, ray.alias("ray")).agg(F.avg(F.hypot(dx, dy)).alias("radius"), F.count("*").alias("n"))
+
+
+def moment_widths(vertices: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long and short widths of the ellipse with the vertices' second moments, and the long axis' angle in degrees."""
+    m = vertices.groupBy(*keys).agg(F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))
+    mean, gap = (F.col("xx") + F.col("yy")) / 2, F.hypot((F.col("xx") - F.col("yy")) / 2, F.col("xy"))
+    # vertices on an ellipse of semi-axis a have variance a^2 / 2 along it
+    width = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) * 2) * 2
+    return m.select(*keys, width(mean + gap).alias("long"), width(mean - gap).alias("short"), F.degrees(F.atan2(F.col("xy") * 2, F.col("xx") - F.col("yy")) / 2).alias("angle"))

@@ -289,6 +289,31 @@ def _(s, d):
     return r6(stats.polygon_area(v, ["g", "c"], "k"), "area", "cd_x", "cd_y", "perimeter", "cd_equivalent")
 
 
+_SHAPES = "v AS (SELECT g, p % 50 AS c, x, y FROM pts)"
+
+
+@query("l23_contour_rays", f"WITH {PTS}, {_SHAPES}, m AS (SELECT g, c, avg(x) AS cx, avg(y) AS cy FROM v GROUP BY 1, 2), r AS (SELECT g, c, x - cx AS dx, y - cy AS dy FROM v JOIN m USING (g, c)) SELECT g, c, ((floor(atan2(dy, dx) / (2 * pi()) * 8 + 0.5)::BIGINT + 8) % 8)::INT AS ray, round(avg(sqrt(dx * dx + dy * dy)), 6) AS radius, count(*) AS n FROM r GROUP BY 1, 2, 3")
+def _(s, d):
+    v = t.points(s, d).withColumn("c", F.col("p") % 50).select("g", "c", "x", "y")
+    return r6(stats.contour_rays(v, ["g", "c"], 8), "radius")
+
+
+@query("l23_moment_widths", f"WITH {PTS}, {_SHAPES}, m AS (SELECT g, c, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM v GROUP BY 1, 2), e AS (SELECT *, (xx + yy) / 2 AS m, sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS h FROM m) SELECT g, c, round(2 * sqrt(2 * (m + h)), 6) AS long, round(2 * sqrt(2 * greatest(m - h, 0)), 4) AS short, round(degrees(atan2(2 * xy, xx - yy) / 2), 4) AS angle FROM e")
+def _(s, d):
+    v = t.points(s, d).withColumn("c", F.col("p") % 50).select("g", "c", "x", "y")
+    got = r6(stats.moment_widths(v, ["g", "c"]), "long")
+    return got.withColumns({n: fn.rounded(n, 4) for n in ("short", "angle")})
+
+
+@query("l24_layer_values", f"WITH {MEAS} SELECT page, cell_id, method, CASE WHEN valid THEN value END AS layer, round(value - avg(CASE WHEN valid THEN value END) OVER (PARTITION BY page, method), 6) AS from_page_mean FROM meas")
+def _(s, d):
+    from pyspark.sql import Window
+
+    m = t.measurements(s, d).withColumn("layer", F.when(F.col("valid"), F.col("value")))
+    off = F.col("value") - F.avg("layer").over(Window.partitionBy("page", "method"))
+    return m.select("page", "cell_id", "method", "layer", fn.rounded(off, 6).alias("from_page_mean"))
+
+
 # -- pitch and lattice ------------------------------------------------------------------------------
 
 
