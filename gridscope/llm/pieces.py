@@ -13,8 +13,8 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LONG = 48  # units of more characters merge one by one, by a heap
-MEMORY_UNITS = 400_000
-CHUNK_BYTES = 2_000_000
+MEMORY_UNITS = 200_000
+CHUNK_BYTES = 1_000_000
 NONE = np.float32(-np.inf)
 
 
@@ -261,11 +261,11 @@ class Pieces:
         if len(memory) + len(new) > MEMORY_UNITS:
             memory.clear()
             new = list(distinct)
-        memory.update(zip(new, self.encode_units(new)))
+        memory.update((u, array("i", ids).tobytes()) for u, ids in zip(new, self.encode_units(new)))
         place = {u: i for i, u in enumerate(distinct)}
         found = [memory[u] for u in distinct]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         at = np.cumsum(lens) - lens
         return [_gather(flat, at, lens, np.fromiter(map(place.__getitem__, u), np.int64, len(u))) for u in cut]
 

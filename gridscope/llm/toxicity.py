@@ -30,7 +30,7 @@ LANDMARKS = 160
 SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 10_000
 #: Words whose margins a process remembers.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 200_000
 #: Longer tokens are scored by overlapping pieces of this many letters.
 PIECE = 16
 THRESHOLD = 0.7
@@ -345,7 +345,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     return docs.withColumn(name, udf(F.col(text_col).cast("string")))
 
 
-CHUNK = 1000
+CHUNK = 500
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
