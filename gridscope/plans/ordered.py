@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridscope import functions as fn
-from gridscope.operators import joins, orders, pitch, spatial, spectra, stats, windows
+from gridscope.operators import joins, orders, pitch, spectra, stats, windows
 from gridscope.plans import tables as t
 from gridscope.plans.relational import _CLOUD, _D2, _LINES, _PAIRX, _RMAP, LAT, MEAS, PTS, PX, QUERIES, SEEDS, SQL, TM, _cells, _cloud, query, r6  # noqa: F401
 

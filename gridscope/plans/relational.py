@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscope import functions as fn
-from gridscope.operators import filters, joins, orders, pitch, spatial, spectra, stats, windows
+from gridscope.operators import filters, joins, pitch, spatial, stats
 from gridscope.plans import tables as t
 
 QUERIES: dict[str, Callable] = {}
