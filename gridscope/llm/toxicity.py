@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
