@@ -31,7 +31,7 @@ TEMPER, MAX_GRAMS = 0.3, 200.0
 #: Rows that a domain's, and a host's, smoothing counts for.
 DOMAIN_ROWS, HOST_ROWS = 20.0, 10.0
 #: What no language's text looks like: this many nats a trigram below the poorest language's own texts.
-UNKNOWN, UNKNOWN_NATS, UNKNOWN_PRIOR = "und", 1.5, 1e-3
+UNKNOWN, UNKNOWN_NATS, UNKNOWN_PRIOR = "und", 3.0, 1e-3
 NONE, OTHER = "-", "other"
 
 # Country suffixes and the language that most addresses under them have.
