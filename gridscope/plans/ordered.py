@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridscope import functions as fn
 from gridscope.operators import joins, orders, pitch, spectra, stats, windows
 from gridscope.plans import tables as t
-from gridscope.plans.relational import _CLOUD, _D2, _LINES, _PAIRX, _RMAP, LAT, MEAS, PTS, PX, QUERIES, SEEDS, SQL, TM, _cells, _cloud, query, r6  # noqa: F401
+from gridscope.plans.relational import _CLOUD, _D2, OFF, _LINES, _PAIRX, _RMAP, LAT, MEAS, PTS, PX, QUERIES, SEEDS, SQL, TM, _cells, _cloud, off_ties, query, r6  # noqa: F401
 
 # -- windows ----------------------------------------------------------------------------------------
 
@@ -361,9 +361,9 @@ def _(s, d):
     return r6(pitch.field_lookup(f, w, 8, 0.9), "value")
 
 
-@query("p8_p10_lattice_profile", f"""WITH {LAT}, {_PAIRX}, pf AS (SELECT g, col AS node, count(*) AS pairs, avg(step) AS pitch, stddev_samp(step) AS sd FROM pr GROUP BY 1, 2), n AS (SELECT g, unnest(range(0, m + 1)) AS node FROM (SELECT g, max(col) AS m FROM lat GROUP BY 1)) SELECT n.g, n.node, round(pitch, 6) AS pitch, round(sd, 6) AS sd, coalesce(pairs, 0) AS pairs FROM n LEFT JOIN pf ON pf.g = n.g AND pf.node = n.node""")
+@query("p8_p10_lattice_profile", f"""WITH {LAT}, {_PAIRX}, pf AS (SELECT g, col AS node, count(*) AS pairs, avg(step) AS pitch, stddev_samp(step) AS sd FROM pr GROUP BY 1, 2), n AS (SELECT g, unnest(range(0, m + 1)) AS node FROM (SELECT g, max(col) AS m FROM lat GROUP BY 1)) SELECT n.g, n.node, round(pitch + {OFF}, 6) AS pitch, round(sd, 6) AS sd, coalesce(pairs, 0) AS pairs FROM n LEFT JOIN pf ON pf.g = n.g AND pf.node = n.node""")
 def _(s, d):
-    return r6(pitch.lattice_profile(t.lattice(s, d), "x", ["g"], reference=50), "pitch", "sd").select("g", "node", "pitch", "sd", "pairs")
+    return r6(off_ties(pitch.lattice_profile(t.lattice(s, d), "x", ["g"], reference=50), "pitch"), "pitch", "sd").select("g", "node", "pitch", "sd", "pairs")
 
 
 @query("p12_stripe_board", f"""WITH {PTS}, q AS (SELECT id, x, (y + 51 * (p % 60)) AS gy, g FROM pts WHERE x >= 5 AND x < 100 AND y >= 5 AND y < 46) SELECT id, x AS gx, gy FROM q WHERE gy >= 0""")
