@@ -21,6 +21,8 @@ END = "\r\n\r\n"
 #: Bounds a file, which one task reads whole.
 RECORDS_PER_FILE = 20_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The type of the row that stands for a file's last byte; no record has it.
+FILE_END = "\n"
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -108,11 +110,17 @@ def _number(text: str | None) -> int | None:
 
 
 def _candidates(name: str, data: bytes) -> Iterator[tuple]:
-    """Every place that looks like a record, with the offset at which its successor would begin."""
+    """Every place that looks like a record, with the offset at which its successor would begin.
+
+    A record follows the file's start or another one's closing blank lines, so headers,
+    of whatever length, don't overlap and each byte is searched once.
+    """
     for m in re.finditer(re.escape(VERSION), data):
-        stop = data.find(b"\r\n\r\n", m.end(), m.end() + 65536)
-        if stop < 0:
+        if m.start() and data[max(0, m.start() - 4) : m.start()] != b"\r\n\r\n":
             continue
+        stop = data.find(b"\r\n\r\n", m.end() - 2)
+        if stop < 0:
+            break
         head, body = data[m.start() : stop], stop + 4
         length = _number(_field(head, b"Content-Length"))
         if length is None or length < 0 or data[body + length : body + length + 4] != b"\r\n\r\n":
@@ -143,12 +151,23 @@ def _chain(part: pd.DataFrame) -> pd.DataFrame:
         jump = jump[jump]
 
 
+def _whole_chain(part: pd.DataFrame) -> pd.DataFrame:
+    """The chain of one file, without its end row, which the chain must reach."""
+    got = _chain(part)
+    ends = got["record_type"] == FILE_END
+    if not ends.any():
+        last = int(got["next"].max()) if len(got) else 0
+        raise ValueError(f"{part['file'].iloc[0]}: no record at byte {last} of {int(part['at'].max())}")
+    return got[~ends]
+
+
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record of the archives under path.
 
     A task per file emits candidates with their successors' offsets (the magic inside a
     payload is one too); the files' chains are then followed from their starts, and
-    candidates that no chain reaches are dropped.  Candidates are narrow rows and a
+    candidates that no chain reaches are dropped.  A chain that doesn't end exactly at
+    its file's last byte is an error.  Candidates are narrow rows and a
     file's are bounded by its size; payloads are digested where they are found and
     never move.
     """
@@ -158,7 +177,7 @@ def read_archives(spark, path: str) -> DataFrame:
             for name, content in zip(b.column(0), b.column(1)):
                 data = content.as_py()
                 data = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
-                rows = list(_candidates(name.as_py(), data))
+                rows = [*_candidates(name.as_py(), data), (name.as_py(), len(data), -1, None, None, None, FILE_END, None, None, None)]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), schema=schema, preserve_index=False)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -167,7 +186,7 @@ def read_archives(spark, path: str) -> DataFrame:
     kind: StructType = _parse_datatype_string(SCHEMA)
     schema, names = to_arrow_schema(kind), kind.names
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(scan, SCHEMA).groupBy("file").applyInPandas(_chain, SCHEMA)
+    return files.mapInArrow(scan, SCHEMA).groupBy("file").applyInPandas(_whole_chain, SCHEMA)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridscope.llm import imi, langid, scratch, warc
@@ -83,6 +84,26 @@ def test_chain_rejects_magic_in_payloads(spark):
     assert warc._chain(part)["at"].tolist() == [0, 10, 20]
 
 
+def test_long_addresses_keep_their_files_records(spark):
+    d = spark.createDataFrame([(i, f"http://h/{i}?" + "u" * (200_000 if i in (0, 5) else 3), f"page {i}") for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in warc.round_trip(d).collect()}
+    assert sorted(got) == list(range(12)) and all(r.intact for r in got.values())
+    assert len(got[0].url) > 200_000 and len(got[5].url) > 200_000
+
+
+def test_broken_chains_are_errors(spark, tmp_path):
+    good = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for k, (text, n) in enumerate([(good * 2, 2), ("", 0), (good + "rest", None), (good + good.replace("h: 3", "h: 4"), None), ("x" + good, None), (good * 2 + good[:-1], None)]):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "part-0").write_bytes(text.encode())
+        read = warc.read_archives(spark, f"file://{tmp_path}/{k}")
+        if n is None:
+            with pytest.raises(Exception, match="no record at byte"):
+                read.collect()
+        else:
+            assert read.count() == n
+
+
 TEXT = {"en": "the quick brown fox and the lazy dog went over that hill with their friends", "de": "der schnelle braune fuchs und der faule hund gingen über den hügel mit ihren freunden", "fr": "le rapide renard brun et le chien paresseux sont allés sur la colline avec leurs amis"}
 
 
