@@ -101,7 +101,8 @@ def search(
     to the smaller id.  All usable rows with an id and the commonest length are indexed;
     others (null, zero, non-finite, null id, other lengths) take no part.  A query isn't
     its own neighbour; other rows that repeat its id aren't either, and a repeated id
-    counts once, by its nearest row.  Empty tables give empty results; other columns
+    counts once, by its nearest row: rows of one id and vector are contracted first, and
+    a block gives k distinct ids.  Empty tables give empty results; other columns
     are ignored.
 
     Codebooks are fitted on a bounded sample; entries of a cell are dealt to blocks of
@@ -111,6 +112,8 @@ def search(
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
+    # a row repeated with its vector would fill cells and blocks; combined before the shuffle, a hot row is one per task
+    rows = scratch.save(rows.groupBy("id", "v").agg(F.max("asked").alias("asked")), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
     if sizes is None:
@@ -175,16 +178,22 @@ def search(
 
 
 def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest entries of each query, distances from differences (not from products, which cancel)."""
+    """The k nearest distinct ids of each query, distances from differences (not from products, which cancel)."""
+    by_id = np.argsort(ids, kind="stable")
+    x, ids = x[by_id], ids[by_id]
     rough = _distances(q, x)
     rough[qid[:, None] == ids[None]] = np.inf
+    each = np.minimum.reduceat(rough, np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]), axis=1)
     # exact distances of whatever rounding could put among the first k
-    kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+    kth = np.partition(each, min(k, each.shape[1]) - 1, axis=1)[:, min(k, each.shape[1]) - 1]
     scale = (q**2).sum(1) + (x**2).sum(1).max()
     row, col = np.nonzero((rough <= (kth + 1e-10 * scale)[:, None]) & np.isfinite(rough))
     exact = np.sqrt(((q[row] - x[col]) ** 2).sum(1))
     order = np.lexsort((ids[col], exact, row))
     row, col, exact = row[order], col[order], exact[order]
+    _, first = np.unique(np.column_stack([row, ids[col]]), axis=0, return_index=True)  # each id's nearest row
+    first.sort()
+    row, col, exact = row[first], col[first], exact[first]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     top = place < k
     return pd.DataFrame({"query_id": qid[row[top]], "vec_id": ids[col[top]], "score": exact[top]})

@@ -42,6 +42,31 @@ def test_search_edges(spark):
     assert imi.search(d.where("false"), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_take_no_places(spark):
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    many = d
+    for _ in range(9):
+        many = many.unionByName(d)
+    got = {}
+    for r in imi.search(many, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in (0, 100, 200):
+        assert [v for _, v in sorted(got[q])] == brute(np.arange(300), x, q)
+
+
+def test_blocks_give_distinct_ids():
+    rng = np.random.default_rng(3)
+    x, ids = rng.normal(size=(400, 4)), rng.integers(0, 25, 400)
+    got = imi._best(x[:3], ids[:3], x, ids, 10)
+    for q in range(3):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = sorted((d[ids == i].min(), i) for i in set(ids.tolist()) - {ids[q]})[:10]
+        mine = got.iloc[q * 10 : q * 10 + 10]
+        assert (mine["query_id"] == ids[q]).all() and mine["vec_id"].tolist() == [i for _, i in want]
+        assert np.allclose(mine["score"], [s for s, _ in want], atol=1e-12)
+
+
 def test_walk_is_best_first():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(5)
