@@ -20,12 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscope.llm import scratch
-from gridscope.llm.sampling import bounded_sample
 
 BUCKETS = 1 << 16
-#: Labelled rows that fit the trigram tables at most, the smallest hashes of their ids, texts up to SAMPLE_CHARS each.
-SAMPLE_ROWS = 4_000
-SAMPLE_CHARS = 4_000
 #: Neighbouring trigrams repeat each other: a text counts as this share of its trigrams, MAX_GRAMS at most.
 TEMPER, MAX_GRAMS = 0.3, 200.0
 #: Rows that a domain's, and a host's, smoothing counts for.
@@ -76,6 +72,11 @@ def train(texts: list[str], languages: list[str]) -> Model:
     counts = np.zeros((BUCKETS, max(1, len(names))))
     for t, lang in zip(texts, languages):
         counts[:, names.index(lang)] += np.bincount(trigrams(t or ""), minlength=BUCKETS)
+    return _model(names, counts)
+
+
+def _model(names: list[str], counts: np.ndarray) -> Model:
+    """From trigram counts, one row a bucket and one column a language."""
     names = names or ["en"]
     p = np.log((counts + 0.05) / (counts + 0.05).sum(0))
     own = (p * counts).sum(0) / np.maximum(counts.sum(0), 1)  # mean log probability of each one's texts
@@ -83,12 +84,32 @@ def train(texts: list[str], languages: list[str]) -> Model:
     return Model([*names, UNKNOWN], np.concatenate([p, floor], 1).astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of the languages that labelled rows name, from a bounded sample of them."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), F.lower(F.col(lang_col)).alias("lang"))
-    got = bounded_sample(known, ["id", "lang"], rows).toPandas()
-    return train(got["text"].tolist(), got["lang"].tolist())
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of every language that labelled rows name, from the trigrams of all their whole texts.
+
+    Tasks add up a count for each language and bucket they meet, which are then summed;
+    the driver gets BUCKETS rows a language at most, whatever the number of texts.  The
+    names that stand for no language here (UNKNOWN, OTHER, NONE) are no labels.
+    """
+    known = docs.select(F.lower(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = known.where(F.col("lang").isNotNull() & ~F.col("lang").isin(UNKNOWN, OTHER, NONE) & F.col("text").isNotNull())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1)):
+                mine = counts.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
+                mine += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
+        for lang, c in counts.items():
+            at = np.flatnonzero(c)
+            at = at if len(at) else np.zeros(1, np.int64)  # a language without a letter is one too
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
+
+    got = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(set(got["lang"]))
+    counts = np.zeros((BUCKETS, max(1, len(names))))
+    counts[got["bucket"].to_numpy(np.int64), np.searchsorted(names, got["lang"].tolist()) if names else []] = got["n"].to_numpy(np.float64)
+    return _model(names, counts)
 
 
 def address_parts(url: Column) -> tuple[Column, Column, Column]:

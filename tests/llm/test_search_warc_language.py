@@ -168,3 +168,17 @@ def test_unknown_texts_leave(spark):
     kept = langid.keep_known(d, m)
     assert kept.columns == d.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, TEXT["en"]), (3, ""), (0, ""), (2, TEXT["fr"])])
     assert langid.keep_known(d.where("false"), m).count() == 0
+
+
+RARE = "szybki brązowy lis i leniwy pies poszli przez to wzgórze ze swoimi przyjaciółmi"
+
+
+def test_rare_languages_are_known_at_every_size(spark):
+    rows = [(i, f"{list(TEXT.values())[i % 3]} {i}", list(TEXT)[i % 3], "s") for i in range(9_000)] + [(20_000, " . " * 3_000 + RARE * 20, "PL", "s"), (20_001, "1 2 3", "xx", "s"), (20_002, "a b", "und", "s"), (20_003, None, "yy", "s"), (20_004, "a b", None, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    m = langid.fit(d)
+    assert m.languages == ["de", "en", "fr", "pl", "xx", "und"]
+    t = [(r[1], r[2].lower()) for r in rows if r[1] and r[2] and r[2] != "und"]
+    assert np.array_equal(m.table, langid.train([a for a, _ in t], [b for _, b in t]).table)
+    assert 20_000 in {r.doc_id for r in langid.keep_known(d, m).collect()}
+    assert langid.fit(d.where("false")).languages == ["en", "und"]
