@@ -113,3 +113,42 @@ def test_dedup_stage_keeps_one_of_near_copies(spark):
     rows += [(900, None, "", ""), (901, "", "", ""), (0, rows[0][1], "", "")]
     kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, KIND)).collect()]
     assert sorted(kept) == [g * 10 for g in range(40)] + [900]
+
+
+def test_dedup_stage_against_exact_jaccard(spark):
+    rng = np.random.default_rng(5)
+    rows, sets = [], []
+    for g in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        n = 396
+        swapped = 12 + g % 7 * 2  # half of them, each spoils five shingles: Jaccard 0.74 to 0.86
+        v = list(w)
+        for at in rng.choice(79, swapped // 2, replace=False):
+            v[2 + 5 * at] = f"new{g}-{at}"
+        for k, text in enumerate((w, v)):
+            rows.append((2 * g + k, " ".join(text), "", ""))
+            sets.append({tuple(text[i : i + 5]) for i in range(n)})
+    same = [len(sets[2 * g] & sets[2 * g + 1]) * 9 >= 4 * (len(sets[2 * g]) + len(sets[2 * g + 1])) for g in range(150)]
+    assert 30 < sum(same) < 120
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, KIND)).collect()}
+    assert kept == {2 * g for g in range(150)} | {2 * g + 1 for g in range(150) if not same[g]}
+
+
+def test_exact_groups_against_brute_force():
+    rng = np.random.default_rng(6)
+    base = [rng.choice(10_000, 60, replace=False).astype(np.uint64) for _ in range(4)]
+    sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for b in base:
+        for _ in range(12):  # chains: each loses a little to its predecessor
+            b = np.unique(np.r_[b[rng.random(len(b)) < 0.93], rng.choice(10_000, 3).astype(np.uint64)])
+            sets.append(b)
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    label = np.arange(len(sets))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if both * 5 >= 4 * (len(a) + len(b) - both):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert simhash._exact_groups(sets).tolist() == label.tolist() and 3 < len(set(label.tolist())) < len(sets) - 5
