@@ -36,13 +36,25 @@ COUNTRY = {
     "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "se": "sv", "dk": "da", "no": "no", "fi": "fi",
 }
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+_OPEN = re.compile(r"(?i)<(?:(!--)|(script|style)\b)")
+_CLOSE = {"!--": re.compile("-->"), "script": re.compile(r"(?i)</script\s*+>"), "style": re.compile(r"(?i)</style\s*+>")}
+_TAG = re.compile(r"<[^>]*>")
 
 
 def visible(page: str) -> str:
-    """Text of a page without scripts, styles, comments and tags."""
-    return html_entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page)))
+    """Text of a page without scripts, styles, comments and tags, in one pass; what is never closed stays."""
+    out, copied, at, unclosed = [], 0, 0, set()
+    while m := _OPEN.search(page, at):
+        kind, at = m[1] or m[2].lower(), m.end()
+        end = None if kind in unclosed else _CLOSE[kind].search(page, at)
+        if end is None:
+            unclosed.add(kind)  # nor is any later one
+            continue
+        out += [page[copied : m.start()], " "]
+        copied = at = end.end()
+    rest = "".join([*out, page[copied:]])
+    last = rest.rfind(">") + 1  # no tag ends behind it
+    return html_entities.unescape(_TAG.sub(" ", rest[:last]) + rest[last:])
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -115,7 +127,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def address_parts(url: Column) -> tuple[Column, Column, Column]:
     """(host, domain, suffix language): the last from a path segment or host label of two letters, or a country suffix."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    domain = F.regexp_extract(F.substring_index(host, ".", -2), r"^([^.]+\.[^.]+)$", 1)
     path = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
     label = F.regexp_extract(host, r"^([a-z]{2})\.", 1)
     table = F.create_map(*[F.lit(x) for kv in COUNTRY.items() for x in kv])
@@ -126,7 +138,7 @@ def address_parts(url: Column) -> tuple[Column, Column, Column]:
 
 def declared_language(page: Column) -> Column:
     """Primary tag of the html element's lang attribute, lower case; NONE without one."""
-    tag = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<html\b([^>]*)>", 1)
+    tag = F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<html\b([^<>]*+)>", 1)
     value = F.lower(F.regexp_extract(tag, r"""(?is)(?:^|\s)(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,3})\b""", 1))
     return F.when(value == "", NONE).otherwise(value)
 

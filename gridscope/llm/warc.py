@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,8 +20,8 @@ from gridscope.llm import scratch
 
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
-#: Bounds a file, which one task reads whole.
-RECORDS_PER_FILE = 20_000
+#: Uncompressed bytes of a file, which one task reads whole, and of a row of the writer; one larger record exceeds both.
+FILE_BYTES, ROW_BYTES = 64 << 20, 1 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The type of the row that stands for a file's last byte; no record has it.
 FILE_END = "\n"
@@ -36,8 +38,8 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*out)
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.coalesce(page_id.cast("string"), F.lit("")))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    h = F.md5(F.concat(F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), digest))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -73,12 +75,12 @@ def render(records: DataFrame) -> DataFrame:
         F.concat(
             F.lit(VERSION.decode()),
             line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-            line("WARC-Record-ID", _record_id(F.col("page_id"))),
+            line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
             line("WARC-Date", F.lit(DATE)),
             line("WARC-Target-URI", uri),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
             maybe("X-Page-Id", F.col("page_id")),
-            F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first_id"))), maybe("X-Refers-To-Page-Id", F.col("first_id")))).otherwise(""),
+            F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first_id"), F.col("digest"))), maybe("X-Refers-To-Page-Id", F.col("first_id")))).otherwise(""),
             line("X-Payload-Length", size),
             line("Content-Type", F.lit("text/html; charset=utf-8")),
             line("Content-Length", F.when(again, "0").otherwise(size)),
@@ -88,10 +90,37 @@ def render(records: DataFrame) -> DataFrame:
     )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole gzip members, one a record, ROW_BYTES of records each; the last byte, always 0, is left to the writer.
+
+    A member ends with its length's highest byte, which is 0 below 16 MB; behind a
+    longer record an empty member follows, as the format allows.
+    """
+    held, size = [], 0
+    for b in batches:
+        for v in b.column(0):
+            raw = v.as_buffer().to_pybytes() + END.encode()
+            for part in (raw, b"")[: 1 + (len(raw) >= 1 << 24)]:
+                c = zlib.compressobj(6, zlib.DEFLATED, 31)
+                held += [c.compress(part), c.flush()]
+            size += len(raw)
+            if size >= ROW_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+
 def write_archives(records: DataFrame, path: str) -> None:
-    """Gzip-compressed archives under path, through Spark's own writer to any store it knows."""
-    out = render(records).write.mode("overwrite").option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """Archives of one gzip member per record under path, bounded in bytes, through Spark's own writer to any store."""
+    rows = render(records).mapInArrow(_packed, "value binary").select(F.col("value").cast("string"))
+    out = rows.write.mode("overwrite").option("lineSep", "\0").option("compression", "none")
+    out.option("maxRecordsPerFile", FILE_BYTES // ROW_BYTES).text(path)
+
+
+def unpacked(data: bytes) -> bytes:
+    """All members of a gzip file, one after another; other files as they are.  A member that breaks off is an error."""
+    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
 
 
 SCHEMA = (
@@ -175,8 +204,7 @@ def read_archives(spark, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0), b.column(1)):
-                data = content.as_py()
-                data = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
+                data = unpacked(content.as_py())
                 rows = [*_candidates(name.as_py(), data), (name.as_py(), len(data), -1, None, None, None, FILE_END, None, None, None)]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), schema=schema, preserve_index=False)
 
@@ -190,17 +218,21 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """pages written as archives into the shared folder and read back: one row per page.
+    """pages written as archives into the shared folder and read back: one row per page; another number is an error.
 
     (page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact).  Null
     html is an empty payload; a null id has no id in its record and, alone in its group
     or with other nulls, a response; repeated rows of one id are all responses; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored.  Equal rows have equal record ids.
     """
     spark = pages.sparkSession
     path = scratch.new_path(spark, "warc")
     write_archives(plan_records(pages, **columns), path)
-    return read_archives(spark, path).drop("file", "at", "next")
+    got = scratch.save(read_archives(spark, path).drop("file", "at", "next"), "records")  # without payloads
+    written, read = pages.count(), got.count()
+    if written != read:
+        raise ValueError(f"{written} pages written, {read} records read from {path}")
+    return got
 
 
 SQL = """

@@ -129,6 +129,42 @@ def test_broken_chains_are_errors(spark, tmp_path):
             assert read.count() == n
 
 
+def test_archives_are_one_member_a_record_in_bounded_files(spark, monkeypatch):
+    import gzip
+    import zlib
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 4 << 20)
+    rng = np.random.default_rng(0)
+    noise = ["".join(map(chr, rng.integers(97, 123, 700_000))) for _ in range(20)]
+    d = spark.createDataFrame([(i, None, t) for i, t in enumerate(noise)] + [(100, None, "y" * (17 << 20)), (101, None, "é")], "page_id long, url string, html string").coalesce(1)
+    path = scratch.new_path(spark, "warc")
+    warc.write_archives(warc.plan_records(d), path)
+    files = [r.content for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()]
+    assert len(files) > 3
+    records = []
+    for f in files:
+        while f:
+            one = zlib.decompressobj(31)
+            text = one.decompress(f)
+            assert one.eof and text.count(b"WARC-Record-ID") == (1 if text else 0)
+            f = one.unused_data
+            records += [text] if text else []
+    assert len(records) == 22 and all(r.endswith(b"\r\n\r\n") for r in records)
+    got = warc.read_archives(spark, path).collect()
+    assert len(got) == 22 and all(r.intact for r in got) and sorted(r.page_id for r in got) == [*range(20), 100, 101]
+    with pytest.raises((EOFError, zlib.error)):
+        warc.unpacked(gzip.compress(b"abc") + gzip.compress(b"abcd")[:-9])
+    assert warc.unpacked(gzip.compress(b"abc") + gzip.compress(b"d")) == b"abcd"
+
+
+def test_lost_records_are_an_error(spark, monkeypatch):
+    d = spark.createDataFrame([(1, None, "a"), (2, None, "b")], "page_id long, url string, html string")
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda s, p: read(s, p).limit(1))
+    with pytest.raises(ValueError, match="2 pages written, 1 records read"):
+        warc.round_trip(d)
+
+
 TEXT = {"en": "the quick brown fox and the lazy dog went over that hill with their friends", "de": "der schnelle braune fuchs und der faule hund gingen über den hügel mit ihren freunden", "fr": "le rapide renard brun et le chien paresseux sont allés sur la colline avec leurs amis"}
 
 
@@ -162,6 +198,76 @@ def test_host_prior_by_hand(spark):
     assert got[20].lang == "de"
 
 
+def test_posterior_by_hand(spark):
+    """Every part of the posterior again, in plain Python, for every page."""
+    m = langid.train([t for t in TEXT.values()] * 5, list(TEXT) * 5)
+    langs, n = m.languages, len(m.languages)
+    rows = []
+    for i in range(24):
+        lang = list(TEXT)[i % 3]
+        words = TEXT[lang].split()[: (i * 5) % 14]
+        rows.append((i, f"http://h{i % 4}.site{i % 2}.{('de', 'com', 'fr')[i % 3]}/{('en/', 'x/', '')[i % 3]}p", f"<html lang='{('en', 'de', 'xx')[i % 3] if i % 5 else ''}'><!-- der die --><p>{' '.join(words)}</p>"))
+    got = {r.id: r for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), m).collect()}
+
+    facts = {}
+    for i, url, html in rows:
+        host = url.split("/")[2]
+        path, label = url.split("/")[3], host.split(".")[0]
+        suffix = path if len(path) == 2 else label if len(label) == 2 and label.isalpha() else langid.COUNTRY.get(host.split(".")[-1], "-")
+        declared = html.split("'")[1] or "-"
+        text = html.split("<p>")[1][:-4].strip()
+        seen = f"  {text}  " if text else ""  # the spaces that tags leave and those around every text
+        grams = [seen[k : k + 3] for k in range(len(seen) - 2)]
+        ll = np.zeros(n)
+        for g in grams:
+            a, b, c = (ord(x) if x != " " else 32 for x in g)
+            ll += m.table[((a * 961 + b * 31 + c) * 2654435761 >> 12) % langid.BUCKETS]
+        ll = ll * min(len(grams) * langid.TEMPER, langid.MAX_GRAMS) / max(1, len(grams))
+        ll -= ll.max()
+        facts[i] = dict(host=host, domain=".".join(host.split(".")[-2:]), suffix=suffix if suffix in [*langs[:-1], "-"] else "other", declared=declared if declared in [*langs[:-1], "-"] else "other", n=len(grams), ll=ll, p=np.exp(ll) / np.exp(ll).sum())
+    for i, f in facts.items():
+        assert got[i].n_grams == f["n"] and np.allclose(got[i].p, f["p"]) and (got[i].host, got[i].domain) == (f["host"], f["domain"])
+    tables = {}
+    for e in ("declared", "suffix"):
+        values = [*langs[:-1], "other", "-"]
+        c = np.full((len(values), n), 0.5)
+        c[range(n - 1), range(n - 1)] += 2
+        for f in facts.values():
+            if f["n"]:
+                c[values.index(f[e]), int(f["p"].argmax())] += 1
+        t = np.log(c / c.sum(0))
+        t[:, -1] = np.log(c.sum(1) / c.sum())
+        tables[e] = dict(zip(values, t))
+    everywhere = 1 + sum(f["p"] for f in facts.values() if f["n"])
+    share = everywhere / everywhere.sum() * (1 - langid.UNKNOWN_PRIOR)
+    share[-1] = langid.UNKNOWN_PRIOR
+    for i, f in facts.items():
+        def sums(key):
+            return sum((g["p"] for j, g in facts.items() if j != i and g["n"] and g[key] == f[key]), np.zeros(n))
+        base = (sums("domain") + langid.DOMAIN_ROWS * share) / (sums("domain").sum() + langid.DOMAIN_ROWS)
+        prior = (sums("host") + langid.HOST_ROWS * base) / (sums("host").sum() + langid.HOST_ROWS)
+        assert np.allclose(got[i].prior, prior)
+        log = f["ll"] + np.log(prior) + tables["declared"][f["declared"]] + tables["suffix"][f["suffix"]]
+        post = np.exp(log - log.max())
+        assert np.allclose(got[i].posterior, post / post.sum(), atol=1e-9), i
+        assert got[i].lang == langs[int(post.argmax())] and (got[i].declared, got[i].suffix) == (f["declared"], f["suffix"])
+
+
+def test_hostile_pages_are_read_in_linear_time(spark):
+    import time
+
+    bad = ["<!--" * 250_000, "<script" * 150_000, "<" * 1_000_000, "<style>" * 100_000 + "</script>" * 50_000, "</script" * 100_000, "<html " * 150_000, "&" * 1_000_000]
+    for page in bad:
+        begin = time.perf_counter()
+        langid.visible(page)
+        assert time.perf_counter() - begin < 1, page[:10]
+    begin = time.perf_counter()
+    spark.createDataFrame([(p, "http://" + "a" * 1_000_000) for p in bad], "h string, u string").select(langid.declared_language(F.col("h")), *langid.address_parts(F.col("u"))).collect()
+    assert time.perf_counter() - begin < 20
+    assert langid.visible("a<!-- x --><b>c</b><SCRIPT a='1'>d</Script ><style>e</style>f<!--g") == "a  c  " + "  f<!--g"
+    assert langid.visible("<script>a<script>b</script>c <d") == " c <d"
+
+
 def test_unknown_texts_leave(spark):
     m = langid.train([t for t in TEXT.values()] * 5, list(TEXT) * 5)
     d = spark.createDataFrame([(1, TEXT["en"], "en", "s", 1), (2, "ъыэ жщц " * 60, "en", "s", 1), (3, "", "en", "s", 1), (None, None, None, None, 1), (2, TEXT["fr"], "fr", "s", 1)], "doc_id long, text string, lang string, source string, host int")
