@@ -33,6 +33,14 @@ def _remove_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has, in whatever case."""
+    name, taken = f"__{name}", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridscope/{name}-{uuid.uuid4().hex}"
 

@@ -10,25 +10,88 @@ def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+def plain_parts(text):
+    """Sentences of lines and of paragraphs, paragraphs and the whole, by a walk over lines."""
+    end = re.compile(r"[.!?;:]+(?=\s|$)")
+    lines = [end.sub("\n", x) for x in re.split(r"\r\n|\r|\n", (text or "").lower())]
+    paragraphs = [[]]
+    for x in lines:
+        paragraphs[-1].append(x)
+        if not re.search("[a-z0-9.]", x):
+            paragraphs.append([])
+    out = [u for x in lines for u in x.split("\n")]
+    for p in map(" ".join, paragraphs):
+        out += [*p.split("\n"), p]
+    return [*out, " ".join(lines)]
+
+
+def plain_scan(text):
+    sets = [set(licenses._py_bigrams(t)) for _, t in licenses.TEMPLATES]
+    found = {}
+    for unit in plain_parts(text):
+        mine = licenses._py_bigrams(unit)
+        for k, other in enumerate(sets):
+            s = dice(mine, other)
+            if s >= licenses.THRESHOLD:
+                found[k] = max(found.get(k, 0), round(s, 9))
+    return sorted((licenses.TEMPLATES[k][0], k, s) for k, s in found.items())
+
+
+def wrapped(text, gutter="", width=72):
+    import textwrap
+
+    return "\n".join(gutter + x for x in textwrap.wrap(text, width))
+
+
 def test_scan_against_brute_force(spark):
     lines = [t for _, t in licenses.TEMPLATES] + ["Licensed under the Apache License, Version 2.0", "licensed under THE mit License!", "Licensed under a fee", "Licensed under the Apache Licence", "", "plain words of no licence at all here"]
     random.seed(1)
-    texts = [None, "", "x" * 100_000, "word " * 30_000] + [" and more.\n".join(random.sample(lines, 3)) for _ in range(60)] + ["First line. " + t + " Last words" for t in lines]
-    d = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, dice int")
-    got = {r.doc_id: r.license_hits for r in licenses.scan(d).collect()}
-    assert len(got) == len(texts)
+    texts = [None, "", "x" * 100_000, "word " * 30_000, "Licensed under the MIT License.\n" * 3_000, "a..b ..c . license ...\n\n\nmit License.\r\n\r\n.x"]
+    texts += [" and more.\n".join(random.sample(lines, 3)) for _ in range(60)] + ["First line. " + t + " Last words" for t in lines]
+    texts += [wrapped(t, g) for t in lines for g in ("", " * ", "# ", "// ")]
+    texts += [random.choice(["", "x\n", "\n \n"]).join(wrapped(random.choice(lines), random.choice(["", "; ", "\t"]), 40) + "\n" for _ in range(4)) for _ in range(60)]
+    d = spark.createDataFrame([(i, t, 5, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, dice int, __lower string, __parts string").repartition(4)
+    scanned = licenses.scan(d)
+    assert scanned.columns == [*d.columns, "license_hits"]
+    got = {r.doc_id: r for r in scanned.collect()}
+    assert len(got) == len(texts) and {(r["__lower"], r["__parts"]) for r in got.values()} == {("a", "b")}
     for i, t in enumerate(texts):
-        want = []
-
-        for unit in re.split(r"\n", re.sub(r"[.!?;:]+(\s|$)", "\n", (t or "").lower())):
-            for k, (name, template) in enumerate(licenses.TEMPLATES):
-                s = dice(licenses._py_bigrams(unit), licenses._py_bigrams(template))
-                if s >= licenses.THRESHOLD:
-                    want.append((name, k, round(s, 9)))
-        assert sorted((h.license, h.template, round(h.dice, 9)) for h in got[i]) == sorted(want), t
+        hits = got[i].license_hits
+        assert sorted((h.license, h.template, round(h.dice, 9)) for h in hits) == plain_scan(t), t
+        assert [h.shared for h in hits] == sorted((h.shared for h in hits), reverse=True)
     assert licenses.scan(d.where("false")).count() == 0
 
 
+def test_licences_as_people_ship_them(spark):
+    """Hard-wrapped, behind comment gutters, under a copyright line, before code."""
+    for gutter in ("", " * ", "# ", "// "):
+        rows = []
+        for name, paragraphs in licenses.LICENCES.items():
+            body = f"\n{gutter}\n".join(wrapped(p, gutter) for p in paragraphs)
+            rows.append((name, f"{gutter}Copyright (c) 2021 Some Body\n{gutter}\n{body}\n\nint main(void) {{ return 0; }}\n"))
+        got = {r.name: r.license_hits for r in licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect()}
+        for name, hits in got.items():
+            assert hits and hits[0].license == name and hits[0].dice > 0.85, (name, gutter, hits[:2])
+
+
+def test_long_runs_of_signs_take_linear_time(spark):
+    import time
+
+    bad = ["." * 1_000_000 + "x license", "license " + ". " * 500_000, "license" + "\n \n" * 300_000 + "x", "license " + "!?" * 500_000, "license " + "\x01" * 1_000_000]
+    begin = time.perf_counter()
+    spark.createDataFrame([(i, t) for i, t in enumerate(bad)], "doc_id long, text string").transform(licenses.scan).collect()
+    assert time.perf_counter() - begin < 20
+
+
+def test_no_template_without_its_probe_words():
+    words = licenses.probe_words(licenses.probes())
+    for probe in licenses.probes():
+        assert any(w in x for w in words for x in probe.split())
+    for _, t in licenses.TEMPLATES:
+        s = set(licenses._py_bigrams(t))
+        assert len(s & set(licenses.probes())) > licenses.bounds(len(s), licenses.THRESHOLD)[2]
+
+
 def test_bounds_are_necessary():
     for n in range(1, 60):
         low, high, spare = licenses.bounds(n, 0.8)
