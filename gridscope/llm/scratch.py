@@ -7,8 +7,10 @@ The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches of a Python worker, which gives freed memory back to the system at the end: it lives on for other stages."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridscope/{name}-{uuid.uuid4().hex}"
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscope import ship
 from gridscope.llm import scratch
 from gridscope.llm.components import connected_components
 
@@ -23,6 +24,8 @@ SHINGLE = 4
 MAX_DISTANCE = 4
 SEGMENTS = 3
 SEED = 42
+#: Buckets of more distinct fingerprints are split by a second cut.
+LARGE_BUCKET = 20_000
 
 
 def _text_lanes(text: str | None, shingle: int, lanes: int, seed: int) -> list[int]:
@@ -69,13 +72,14 @@ def fingerprints(
     names = [f"fp{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             rows = [_text_lanes(t.as_py(), shingle, lanes, seed) for t in b.column(1)]
             got = np.array(rows, np.int64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(got[:, i]) for i in range(lanes))], names=["id", *names]
             )
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
@@ -86,17 +90,36 @@ def _segments(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def _wildcards(value, off: int, width: int, tag: int) -> list:
+    """One key per bit of a segment of a column of 64 bits: the tag and the bit above the segment's bits, that bit cleared."""
+    part = F.shiftrightunsigned(value, off)
+    ones = (1 << width) - 1
+    return [part.bitwiseAND(F.lit(ones & ~(1 << bit))).bitwiseOR(F.lit((tag + off + bit) << 40)) for bit in range(width)]
+
+
 def _variants(lanes: int, segments: int) -> list:
-    """One key per lane and bit: the tag (lane, bit) above the segment's bits, that bit cleared."""
-    keys = []
+    """The wildcard keys of all segments; a key's tag is 64 * lane + bit."""
+    return [k for lane in range(lanes) for off, width in _segments(segments) for k in _wildcards(F.col(f"fp{lane}"), off, width, lane * 64)]
+
+
+def _second_variants(lanes: int, segments: int, distance: int):
+    """An array of wildcard keys over the bits outside the segment that the column ``key`` is of.
+
+    These are cut so that of two rows within the distance one segment differs by at most one bit.
+    """
+    tag, out, each = F.shiftrightunsigned("key", 40), F.when(F.lit(False), F.array(F.lit(0).cast("long"))), -(-(distance // 2 + 1) // lanes)
     for lane in range(lanes):
         for off, width in _segments(segments):
-            part = F.shiftrightunsigned(F.col(f"fp{lane}"), off)
-            for bit in range(width):
-                mask = ((1 << width) - 1) & ~(1 << bit)
-                tag = (lane * 64 + off + bit) << 40
-                keys.append(part.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(tag)))
-    return keys
+            keys = []
+            for other in range(lanes):
+                value, bits = F.col(f"fp{other}"), 64
+                if other == lane:  # turned so that this segment's bits are the highest
+                    value, bits = F.shiftrightunsigned(value, (off + width) % 64).bitwiseOR(F.shiftleft(value, (64 - off - width) % 64)), 64 - width
+                cuts = [round(bits * i / each) for i in range(each + 1)]
+                for x, y in zip(cuts, cuts[1:]):
+                    keys += _wildcards(value, x, y - x, other * 64)
+            out = out.when(tag.between(lane * 64 + off, lane * 64 + off + width - 1), F.array(*keys))
+    return out
 
 
 def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,7 +193,7 @@ def _bucket_labels(key: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray
     return label
 
 
-def links(nodes: DataFrame, lanes: int = 1, segments: int = SEGMENTS, distance: int = MAX_DISTANCE) -> DataFrame:
+def links(nodes: DataFrame, lanes: int = 1, segments: int = SEGMENTS, distance: int = MAX_DISTANCE, large: int = LARGE_BUCKET) -> DataFrame:
     """Edges (a, b) that connect, bucket by bucket, all fingerprints within the distance.
 
     nodes: (node long, fp0..), one row per distinct fingerprint.  A bucket of n rows
@@ -178,8 +201,14 @@ def links(nodes: DataFrame, lanes: int = 1, segments: int = SEGMENTS, distance:
     keep every connection and none of the quadratically many pairs.  A task holds one
     bucket's fingerprints at a time (8 bytes a lane), never texts.  Beyond
     2 * segments * lanes - 1 bits the search becomes probabilistic; within it, exact.
+
+    A bucket of more than ``large`` rows is split, before anything of it moves, by the
+    variants of a second cut: the bits outside its segment, in so many segments that two rows
+    within the distance share a variant there too.  Only rows that agree in both stay together.
+    Segments have at most 24 bits.
     """
     names = [f"fp{i}" for i in range(lanes)]
+    ship(nodes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -199,6 +228,12 @@ def links(nodes: DataFrame, lanes: int = 1, segments: int = SEGMENTS, distance:
             yield _edges(np.concatenate(held), distance)
 
     keyed = nodes.select(F.explode(F.array(*_variants(lanes, segments))).alias("key"), "node", *names)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("key")
+    hot = scratch.save(sizes, "hot")  # at most rows / large keys
+    if not hot.isEmpty():
+        split = keyed.join(hot, "key", "left_semi").withColumn("second", F.explode(_second_variants(lanes, segments, distance)))
+        split = split.select(F.xxhash64("key", "second").alias("key"), "node", *names)
+        keyed = keyed.join(hot, "key", "left_anti").unionByName(split)
     near = keyed.repartition("key").sortWithinPartitions("key")
     return near.mapInArrow(run, "a long, b long")
 
@@ -250,6 +285,8 @@ BANDS, BAND_ROWS = 24, 5
 SIMILARITY = (4, 5)
 #: Rows of sets that a worker makes at a time, and rows that it gets at a time, while it holds sets.
 SLICE, BATCH = 128, 512
+#: Sets in one block of a bucket.
+BLOCK_SETS = 256
 _MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
 
 
@@ -313,7 +350,7 @@ def _signatures(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     names = [f"fp{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             nodes, prints, bands = [], [], []
             for t in b.column(1):
                 text = t.as_py()
@@ -334,7 +371,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     """(node, root, set) of rows (node, root, text) whose text is the node's; the set as 8 bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for b in (b.slice(at, SLICE) for b in scratch.tidied(batches) for at in range(0, b.num_rows, SLICE)):
             sets = [_shingles(t.as_py(), shingle) for t in b.column(2)]
             own = [i for i, (n, s) in enumerate(zip(b.column(0).to_pylist(), sets)) if _set_id(s) == n]
             some = b.take(pa.array(own, pa.int64()))
@@ -354,28 +391,47 @@ def _save_in_batches(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
-def _like_root(sets: DataFrame) -> DataFrame:
-    """(node, root, linked): whether a node's set is at SIMILARITY with its root's own."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked) of pairs of nodes (a, b): whether their sets are at SIMILARITY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             linked = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 linked.append(bool(_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["node", "root", "linked"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    roots = sets.where("node = root").select("root", F.col("set").alias("root_set"))
-    return sets.join(roots, "root").select("node", "root", "set", "root_set").mapInArrow(run, "node long, root long, linked boolean")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _split(part):
-    """(node, part) of one candidate group that isn't all like its root."""
+def _stars(part):
+    """Edges (a, b) of a spanning star of each cluster of one cell's sets."""
     import pandas as pd
 
-    part = part.sort_values("node", ignore_index=True)
-    label = _exact_groups([np.frombuffer(x, np.uint64) for x in part["set"]])
-    return pd.DataFrame({"node": part["node"], "part": part["node"].to_numpy()[label]})
+    part = part.drop_duplicates("node").sort_values("node", ignore_index=True)
+    label, node = _exact_groups([np.frombuffer(x, np.uint64) for x in part["set"]]), part["node"].to_numpy()
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"a": node[label[moved]], "b": node[moved]})
+
+
+def _exact_edges(buckets: DataFrame, sets: DataFrame, block: int = BLOCK_SETS) -> DataFrame:
+    """Edges (a, b) at SIMILARITY that connect a bucket's strays to whatever in it is like them.
+
+    buckets: (bucket, node, stray).  Members are dealt to blocks of about ``block`` nodes,
+    strays too, and each block of members with each block of strays is one cell, which compares
+    all its pairs: a task holds two blocks, whatever a bucket's size.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("stray").alias("strays")).where("n > 1 AND strays > 0")
+    sizes = sizes.select("bucket", *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("n", "strays")])
+    rows = buckets.join(scratch.save(sizes, "blocks"), "bucket")
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = rows.select("bucket", of("n").alias("i"), every("strays").alias("j"), "node")
+    cells = cells.unionByName(rows.where("stray").select("bucket", every("n").alias("i"), of("strays").alias("j"), "node"))
+    found = cells.join(sets.select("node", "set"), "node").groupBy("bucket", "i", "j").applyInPandas(_stars, "a long, b long")
+    return found.distinct()
 
 
 def drop_near_duplicates(
@@ -387,33 +443,40 @@ def drop_near_duplicates(
     shingles) connect.  Candidates come from two nets: fingerprints within the distance
     that share a deletion variant, and minhash keys; the fingerprints alone find 0.76 of
     the pairs at 0.8, the keys all but one in 13,000.  What they connect is held
-    against the exact sets: each member with its group's root, and in groups where some
-    member isn't like the root, within one task, every member with those not reached yet.
-    Rows with a null id can't be told apart and all stay.  Of rows with the same id
-    one stays (the smallest text).
+    against the exact sets: each member with its group's root first; members that aren't
+    like it then with their links and all that share a key, in cells of bounded size.  Rows with a null id can't be told apart and all stay.  Of rows with
+    the same id one stays (the smallest text).
     """
-    from pyspark.sql import Window
-
     names = [f"fp{i}" for i in range(lanes)]
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     prints = _save_in_batches(_signatures(src, shingle, lanes), "prints")
     nodes = prints.groupBy("node").agg(F.min(F.struct("id", *names)).alias("s"), F.first("bands").alias("bands"))
     nodes = scratch.save(nodes.select("node", F.col("s.id").alias("first_id"), *[F.col(f"s.{n}").alias(n) for n in names], "bands"), "nodes")
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    low = keyed.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = keyed.join(low, ["band", "key"]).where("a <> node").select("a", F.col("node").alias("b"))
-    near = links(nodes.select("node", *names), lanes, segments, distance)
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    low = keyed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = keyed.join(low, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
+    near = scratch.save(links(nodes.select("node", *names), lanes, segments, distance), "near")
     members = nodes.join(connected_components(near.unionByName(shared.distinct())), "node").select("node", "root", "first_id")
     members = scratch.save(members, "members")
     texts = src.join(members, src["id"] == members["first_id"]).select("node", "root", "text")
     sets = _save_in_batches(_sets(texts, shingle).dropDuplicates(["node"]), "sets")
-    checked = _save_in_batches(_like_root(sets), "checked")
-    mixed = checked.where("NOT linked").select("root").distinct()
-    parts = sets.join(mixed, "root", "left_semi").groupBy("root").applyInPandas(_split, "node long, part long")
-    parts = parts.unionByName(checked.join(mixed, "root", "left_anti").select("node", F.col("root").alias("part")))
+    checked = _save_in_batches(_compared(members.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")), sets), "checked")
+    strays = scratch.save(checked.where("NOT linked").select(F.col("a").alias("root"), F.col("b").alias("node")), "strays")
+    alike = checked.where("linked").select("a", "b")
+    if not strays.isEmpty():
+        stray = strays.select("node")
+        some = near.join(stray.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(near.join(stray.withColumnRenamed("node", "b"), "b", "left_semi"))
+        by_print = _save_in_batches(_compared(some.select("a", "b").distinct(), sets), "by_print").where("linked").select("a", "b")
+        mixed = members.join(strays.select("root").distinct(), "root", "left_semi").select("node")
+        mixed = scratch.save(mixed.join(stray.withColumn("stray", F.lit(True)), "node", "left").select("node", F.coalesce("stray", F.lit(False)).alias("stray")), "mixed")
+        buckets = scratch.save(keyed.join(mixed, "node").distinct(), "buckets")
+        alike = alike.unionByName(by_print).unionByName(_save_in_batches(_exact_edges(buckets, sets), "cells"))
+    parts = connected_components(alike).withColumnRenamed("root", "part")
     found = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    keep = found.groupBy("part").agg(F.min("first_id").alias("__keep_id")).select("__keep_id").distinct()
-    rows = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep_id"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    rows = rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    keep_id = scratch.fresh(docs, "keep_id")
+    keep = found.groupBy("part").agg(F.min("first_id").alias(keep_id)).select(keep_id).distinct()
+    rows = docs.join(keep, F.col(id_col).cast("long") == F.col(keep_id), "left_semi")
+    # combined before the shuffle, so a hot id's rows don't meet in one task
+    rows = rows.groupBy(F.col(id_col)).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("row"))
+    return rows.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -67,6 +67,24 @@ def test_planted_distances(spark):
             assert same == (expected[i] == expected[j])
 
 
+@pytest.mark.parametrize("lanes, segments, distance", [(1, 3, 4), (2, 4, 7)])
+def test_large_buckets_are_split_without_loss(spark, lanes, segments, distance):
+    rng = np.random.default_rng(3)
+    n = 400
+    fp = rng.integers(-(2**63), 2**63, (n, lanes))
+    fp[:, 0] = fp[:, 0] & ~0x3FFFFF | 0x2AAAAA  # one segment in common
+    for i in range(1, n, 2):  # neighbours within the distance, every second
+        fp[i] = fp[i - 1]
+        for b in rng.choice(64 * lanes, rng.integers(1, distance + 1), replace=False).tolist():
+            fp[i, b // 64] ^= np.int64(1 << b % 64 if b % 64 < 63 else -(2**63))
+    names = [f"fp{k}" for k in range(lanes)]
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(fp.tolist())], "node long, " + ", ".join(f"{c} long" for c in names))
+    want = {(r.a, r.b) for r in simhash.links(nodes, lanes, segments, distance).collect()}
+    got = {(r.a, r.b) for r in simhash.links(nodes, lanes, segments, distance, large=20).collect()}
+    assert got == want and {(i, i + 1) for i in range(0, n, 2)} <= got
+    assert simhash.links(nodes.where("false"), lanes, segments, distance).count() == 0
+
+
 @pytest.mark.parametrize("n", [5, 60, 3000])
 def test_bucket_labels_keep_connections(n):
     rng = np.random.default_rng(n)
@@ -152,3 +170,40 @@ def test_exact_groups_against_brute_force():
                 if both * 5 >= 4 * (len(a) + len(b) - both):
                     label[i] = label[j] = min(label[i], label[j])
     assert simhash._exact_groups(sets).tolist() == label.tolist() and 3 < len(set(label.tolist())) < len(sets) - 5
+
+
+def test_exact_edges_in_cells(spark):
+    """Chains in one bucket: their links survive cells of any size, and rows that are connected already aren't needed."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(12):
+        b = rng.choice(100_000, 60, replace=False).astype(np.uint64)
+        for _ in range(10):
+            b = np.unique(np.r_[b[rng.random(len(b)) < 0.93], rng.choice(100_000, 3).astype(np.uint64)])
+            sets.append(b)
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    table = spark.createDataFrame([(i, 0, x.tobytes()) for i, x in enumerate(sets)], "node long, root long, set binary")
+    want = simhash._exact_groups(sets).tolist()
+    for block, known in ((16, 0), (7, 0), (1000, 0), (16, 40)):
+        links = [(i, j) for i in range(known) for j in range(i + 1, known) if want[i] == want[j]]
+        rows = [(7, i, i >= known) for i in range(len(sets))] + [(8, 3, True)]
+        e = [(r.a, r.b) for r in simhash._exact_edges(spark.createDataFrame(rows, "bucket long, node long, stray boolean"), table, block).collect()]
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(e + links, "a long, b long")).collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == want, (block, known)
+
+
+def test_dedup_stage_on_chains_and_repeated_ids(spark):
+    """A chain whose ends differ is one group; rows of one id but the first text go; columns may be called anything."""
+    rng = np.random.default_rng(9)
+    w = [f"w{x}" for x in rng.integers(0, 9000, 300)]
+    rows = []
+    for k in range(8):  # each changes five words of its predecessor
+        rows.append((50 + k, " ".join(w)))
+        for at in range(20 * k, 20 * k + 20, 4):
+            w[at] = f"c{k}-{at}"
+    rows += [(50, "zzz another text of the same id"), (99, "lone"), (99, None), (None, "lone"), (None, None)]
+    d = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, __row int, __keep_id int, row int, node int")
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(50, rows[0][1]), (99, "lone"), (None, "lone"), (None, None)], key=str)
