@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridscope import ship
 from gridscope.llm import scratch
 
 BUCKETS = 1 << 16
@@ -103,12 +104,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     the driver gets BUCKETS rows a language at most, whatever the number of texts.  The
     names that stand for no language here (UNKNOWN, OTHER, NONE) are no labels.
     """
-    known = docs.select(F.lower(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    ship(docs.sparkSession)
+    known = docs.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & ~F.col("lang").isin(UNKNOWN, OTHER, NONE) & F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in scratch.tidied(batches):
             for lang, text in zip(b.column(0), b.column(1)):
                 mine = counts.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
                 mine += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
@@ -145,13 +147,14 @@ def declared_language(page: Column) -> Column:
 
 def text_evidence(rows: DataFrame, model: Model, is_html: bool, keep: list[str]) -> DataFrame:
     """keep columns with n_grams, ll (tempered log likelihoods, best 0) and p (their softmax) of the column ``text``."""
+    ship(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of one float a language
     schema = rows.select(*keep).schema
     text_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_grams long, ll array<double>, p array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in scratch.tidied(batches):
             n, ll = [], []
             for t in b.column(b.num_columns - 1):
                 text = t.as_py() or ""
@@ -277,5 +280,6 @@ def keep_known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         F.col(text_col).cast("string").alias("text"),
     )
     rows = scratch.save(text_evidence(rows, model, False, ["id", "key", "host", "domain", "declared", "suffix"]), "language")
-    bad = fuse(rows, model.languages).where((F.col("lang") == UNKNOWN) & (F.col("n_grams") > 0)).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    bad_id, bad_key = scratch.fresh(docs, "id"), scratch.fresh(docs, "key")
+    bad = fuse(rows, model.languages).where((F.col("lang") == UNKNOWN) & (F.col("n_grams") > 0)).select(F.col("id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(bad_id)) & (key == F.col(bad_key)), "left_anti")

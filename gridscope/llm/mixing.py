@@ -82,16 +82,17 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
+        word_count(F.col(text_col).cast("string")).alias("size"),
     ).withColumn("key", hash_key(F.col("id"), seed))
 
 
 def _with_sources(rows: DataFrame, sources: DataFrame, columns: list[str], source: str = "source") -> DataFrame:
     """rows joined to their source's columns; sources are broadcast only below a checked number."""
-    small = sources.select(F.col("source").alias("__source"), *columns)
+    name = scratch.fresh(rows, "source")
+    small = sources.select(F.col("source").alias(name), *columns)
     if sources.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)
-    return rows.join(small, F.col(source).cast("string").eqNullSafe(F.col("__source"))).drop("__source")
+    return rows.join(small, F.col(source).cast("string").eqNullSafe(F.col(name))).drop(name)
 
 
 def mix(
@@ -146,12 +147,13 @@ def mix_documents(
         F.max(whole).alias("__whole"), F.max(F.when(inside, at)).alias("__cut")
     )
     cuts = scratch.save(cuts, "cuts")
-    rows = docs.withColumn("__size", word_count(F.col(text_col))).withColumn("__key", hash_key(F.col(id_col).cast("long"), seed))
-    rows = _with_sources(rows, cuts, ["__whole", "__cut"], source_col)
-    here = F.struct(F.col("__key"), F.col(id_col).cast("long"), F.col("__size"))
-    times = F.col("__whole") + F.when(here <= F.col("__cut"), 1).otherwise(0)
-    rows = rows.withColumn("__times", times).where("__times > 0")
-    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    size, key, times, epoch, whole, cut = (scratch.fresh(docs, c) for c in ("size", "key", "times", "epoch", "whole", "cut"))
+    cuts = cuts.withColumnsRenamed({"__whole": whole, "__cut": cut})
+    rows = docs.withColumn(size, word_count(F.col(text_col).cast("string"))).withColumn(key, hash_key(F.col(id_col).cast("long"), seed))
+    rows = _with_sources(rows, cuts, [whole, cut], source_col)
+    here = F.struct(F.col(key), F.col(id_col).cast("long"), F.col(size))
+    rows = rows.withColumn(times, F.col(whole) + F.when(here <= F.col(cut), 1).otherwise(0)).where(F.col(times) > 0)
+    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 SQL = r"""

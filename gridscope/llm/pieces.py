@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscope import ship
+from gridscope.llm import scratch
+
 SPACE = "▁"
 #: Fixed values of the model file's format: model types and piece types.
 UNIGRAM, BPE = 1, 2
@@ -313,13 +316,14 @@ def encode_column(docs: DataFrame, model: Pieces, text_col: str = "text", ids: s
     from pyspark.sql import types as T
 
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary: a few MB at most
-    src = docs.drop(ids, *[decoded] * bool(decoded))
+    ship(docs.sparkSession)
+    src, last = docs.drop(ids, *[decoded] * bool(decoded)), scratch.fresh(docs, "text")
     kind = T.StructType([*src.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     if decoded:
         kind = kind.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             for rows, texts in _chunks(b, b.num_columns - 1):
                 got = sent.value.encode(texts)
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
@@ -328,7 +332,7 @@ def encode_column(docs: DataFrame, model: Pieces, text_col: str = "text", ids: s
                     made.append(pa.array([sent.value.decode(g) for g in got], pa.string()))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], names=kind.names)
 
-    return src.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, kind)
+    return src.withColumn(last, docs[text_col].cast("string")).mapInArrow(run, kind)
 
 
 def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -353,7 +357,7 @@ def digests(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             for part, texts in _chunks(b, 1):
                 rows = []
                 for t, ids in zip(texts, sent.value.encode(texts)):
@@ -361,5 +365,6 @@ def digests(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: st
                     rows.append((len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in zip(*rows))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridscope import ship
 from gridscope.llm import scratch
 
 VERSION = b"WARC/1.1\r\n"
@@ -113,6 +114,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(records: DataFrame, path: str) -> None:
     """Archives of one gzip member per record under path, bounded in bytes, through Spark's own writer to any store."""
+    ship(records.sparkSession)
     rows = render(records).mapInArrow(_packed, "value binary").select(F.col("value").cast("string"))
     out = rows.write.mode("overwrite").option("lineSep", "\0").option("compression", "none")
     out.option("maxRecordsPerFile", FILE_BYTES // ROW_BYTES).text(path)
@@ -202,7 +204,7 @@ def read_archives(spark, path: str) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             for name, content in zip(b.column(0), b.column(1)):
                 data = unpacked(content.as_py())
                 rows = [*_candidates(name.as_py(), data), (name.as_py(), len(data), -1, None, None, None, FILE_END, None, None, None)]
@@ -211,6 +213,7 @@ def read_archives(spark, path: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    ship(spark)
     kind: StructType = _parse_datatype_string(SCHEMA)
     schema, names = to_arrow_schema(kind), kind.names
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
