@@ -1,11 +1,20 @@
-"""Toxicity by a gap-weighted subsequence-kernel SVM over Nystrom landmarks.
+"""Toxicity by a gap-weighted subsequence-kernel SVM over Nystrom landmarks, trained on sentences.
 
 The kernel of two words (Lodhi et al., "Text Classification using String Kernels")
 counts common subsequences of ORDER letters, each occurrence weighed by DECAY to the
 power of the letters it spans, and is normalised; so "id-xiot" is still close to
-"idiot".  Words are compared with a few landmark words (Nystrom), a linear SVM is
-trained on those features, and since every feature is a weighted sum of kernels, the
-whole machine folds into one weight per letter triple, which scoring looks up.
+"idiot".  A word's start and end are letters too.  Occurrences that span more than
+MAX_SPAN letters are left out; such a pair of occurrences weighs at most
+DECAY ** (2 * MAX_SPAN + 2) before normalising, 6 % of a pair without gaps.
+
+A sentence is as toxic as its most toxic word (a set kernel's maximum).  Only documents
+carry labels, so a toxic document is a bag of sentences of which one at least is toxic
+(multiple-instance learning): a linear SVM over the kernels with a few landmark words
+(Nystrom) is trained on sentences of clean documents, and on those of toxic documents that
+the machine of the round before holds for toxic, at least the most toxic one of each.  Every
+feature is a weighted sum of kernels, so the machine folds into one weight per letter
+triple, which scoring looks up.  A document's score is the calibrated margin of its most
+toxic sentences.
 """
 
 from __future__ import annotations
@@ -15,55 +24,74 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscope import ship
+from gridscope.llm import scratch
 from gridscope.llm.sampling import bounded_sample
 
 ORDER = 3
 DECAY = 0.7
-#: Longest stretch of letters a subsequence may span; longer gaps weigh under DECAY ** MAX_SPAN.
+#: Longest stretch of letters a subsequence may span.
 MAX_SPAN = 6
-LANDMARKS = 160
-#: Labelled rows that training reads at most: those with the smallest hashes of their ids, texts up to SAMPLE_CHARS each.
+LANDMARKS = 200
+#: Labelled rows that training reads at most, those with the smallest hashes of their ids, and the bytes of their
+#: whole texts together: rows go from the end of that order until they fit.
 SAMPLE_ROWS = 6_000
-SAMPLE_CHARS = 10_000
+SAMPLE_BYTES = 24_000_000
 #: Words whose margins a process remembers.
 MEMORY_WORDS = 200_000
 #: Longer tokens are scored by overlapping pieces of this many letters.
 PIECE = 16
+#: Rounds of choosing the toxic documents' sentences anew, and clean sentences in each: the machine's hardest and some of all.
+ROUNDS, CLEAN_SENTENCES = 4, 16_000
+#: Sentences whose margins the calibration weighs: a document's most toxic ones.
+TOPS = 3
 THRESHOLD = 0.7
 
 # Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
-ALPHABET = 64  # letters are numbered by code point modulo this, apart from a-z
+#: a-z are 0 to 25, other letters are numbered from there by code point, a word's start and end last.
+ALPHABET, START, END = 64, 62, 63
 _SIGNS = re.compile(r"[013457@$!]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _ENDS = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 
 
-def units(text: str | None) -> list[str]:
-    """The words of a whole text as runs of letters: lower case, signs inside dropped, spelled-out words joined."""
-    out, spelled = [], []
-    for token in (text or "").lower().split():
-        if not token.isalpha():
-            if _SIGNS.search(token) and any(map(str.isalpha, token)):
-                token = _ENDS.sub("", token).translate(LEET)
-            token = _NOT_LETTER.sub("", token)
-        if len(token) == 1:
-            spelled.append(token)
-            continue
-        if spelled:
-            if len(spelled) > 2:
-                out += _pieces("".join(spelled))
-            spelled = []
-        if len(token) <= PIECE:
-            if token:
-                out.append(token)
-        else:
-            out += _pieces(token)
-    return out + (_pieces("".join(spelled)) if len(spelled) > 2 else [])
+def sentences(text: str | None) -> list[list[str]]:
+    """The sentences of a whole text as words of letters: lower case, signs inside dropped, spelled-out words joined.
+
+    A sentence ends with a line and at a token that ends in . ! or ?.
+    """
+    out: list[list[str]] = []
+    for line in (text or "").lower().splitlines():
+        words, spelled = [], []
+        for token in line.split():
+            last = token[-1] in ".!?"
+            if not token.isalpha():
+                if _SIGNS.search(token) and any(map(str.isalpha, token)):
+                    token = _ENDS.sub("", token).translate(LEET)
+                token = _NOT_LETTER.sub("", token)
+            if len(token) == 1:
+                spelled.append(token)
+            elif token:
+                if len(spelled) > 2:
+                    words += _pieces("".join(spelled))
+                spelled = []
+                words += [token] if len(token) <= PIECE else _pieces(token)
+            if last:
+                if len(spelled) > 2:
+                    words += _pieces("".join(spelled))
+                if words:
+                    out.append(words)
+                words, spelled = [], []
+        if len(spelled) > 2:
+            words += _pieces("".join(spelled))
+        if words:
+            out.append(words)
+    return out
 
 
 def _pieces(letters: str) -> list[str]:
@@ -71,8 +99,10 @@ def _pieces(letters: str) -> list[str]:
 
 
 def _letters(words: list[str], length: int) -> np.ndarray:
+    """Numbers of the words' letters, START before and END behind them."""
     code = np.array(["".join(words)]).view(np.int32).reshape(len(words), length)
-    return np.where((code >= 97) & (code <= 122), code - 97, 26 + code % (ALPHABET - 26))
+    code = np.where((code >= 97) & (code <= 122), code - 97, 26 + code % (START - 26))
+    return np.pad(code, ((0, 0), (1, 1)), constant_values=((0, 0), (START, END)))
 
 
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +117,7 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for length in np.unique(lengths[lengths >= ORDER]).tolist():
         where = np.flatnonzero(lengths == length)
-        at, weight = _triples(length)
+        at, weight = _triples(length + 2)
         span = (at[:, -1] - at[:, 0]).astype(np.int32)
         by_span = np.zeros(8, np.float32)
         by_span[span] = weight
@@ -119,66 +149,76 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+class Bags:
+    """Texts as sentences of words: the distinct words, and for all sentences of all texts the words' places."""
+
+    def __init__(self, texts: list[str | None]):
+        ids: dict[str, int] = {}
+        cut = [sentences(t) for t in texts]
+        self.words_of = np.fromiter((ids.setdefault(w, len(ids)) for t in cut for s in t for w in s), np.int32)
+        self.length = np.fromiter((len(s) for t in cut for s in t), np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.sentences = np.fromiter(map(len, cut), np.int64, len(cut))  # of each text
+        self.text = np.repeat(np.arange(len(cut)), self.sentences)  # of each sentence
+        self.words = list(ids)
+
+    def margins(self, values: np.ndarray) -> np.ndarray:
+        """Per sentence: the largest value of its words."""
+        return np.maximum.reduceat(values[self.words_of], self.start) if len(self.start) else np.zeros(0)
+
+    def witnesses(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The first word with the largest value of each of some sentences."""
+        return np.array([self.words_of[a + int(np.argmax(values[self.words_of[a : a + n]]))] for a, n in zip(self.start[rows].tolist(), self.length[rows].tolist())], np.int64)
+
+    def tops(self, margins: np.ndarray, none: float) -> np.ndarray:
+        """Per text: the TOPS largest margins of its sentences, largest first; ``none`` where it has fewer sentences."""
+        out = np.full((len(self.sentences), TOPS), none)
+        order = np.lexsort((-margins, self.text))
+        first = np.cumsum(self.sentences) - self.sentences
+        for k in range(TOPS):
+            some = np.flatnonzero(self.sentences > k)
+            out[some, k] = margins[order[first[some] + k]]
+        return out
+
+
 class Model:
-    """weights: one per letter triple; bias; and the logistic over a document's features."""
+    """weights: one per letter triple; bias; slope and odds: a document's score is the logistic of its calibrated margin."""
 
-    def __init__(self, weights: np.ndarray, bias: float, coef: np.ndarray, mean: np.ndarray, scale: np.ndarray, odds: float):
-        self.weights, self.bias, self.coef, self.mean, self.scale, self.odds = weights, bias, coef, mean, scale, odds
+    def __init__(self, weights: np.ndarray, bias: float, slope: np.ndarray, odds: float):
+        self.weights, self.bias, self.slope, self.odds = weights, bias, slope, odds
 
-    def margins(self, words: list[str]) -> np.ndarray:
+    def values(self, words: list[str]) -> np.ndarray:
+        """The margin of each word."""
         out = np.full(len(words), self.bias, np.float64)
         for which, code, w in subsequences(words):
             out[which] += np.einsum("nt,nt->n", self.weights[code], w)
         return out
 
     def remembered(self, words: list[str]) -> np.ndarray:
-        """margins(), through a bounded memory of words seen before in this process."""
+        """values(), through a bounded memory of words seen before in this process."""
         memory = self.__dict__.setdefault("memory", {})
         new = [w for w in words if w not in memory]
         if len(memory) + len(new) > MEMORY_WORDS:
             memory.clear()
             new = words
-        memory.update(zip(new, self.margins(new).tolist()))
+        memory.update(zip(new, self.values(new).tolist()))
         return np.fromiter(map(memory.__getitem__, words), np.float64, len(words))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memory"}
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
-        return 1 / (1 + np.exp(-(_products((document_features(texts, self.remembered) - self.mean) / self.scale) @ self.coef + self.odds)))
-
-
-FEATURES = 9
-
-
-def document_features(texts: list[str | None], margins) -> np.ndarray:
-    """Per text: its three largest word margins, mean, spread and 95th percentile, and how many words pass three margins."""
-    seen: dict[str, int] = {}
-    rows, out = [], np.zeros((len(texts), FEATURES))
-    for t in texts:
-        rows.append([seen.setdefault(u, len(seen)) for u in units(t)])
-    m = np.clip(margins(list(seen)), -2, 2) if seen else np.zeros(0)
-    for i, r in enumerate(rows):
-        v = m[np.array(r, np.int64)] if r else np.full(1, -1.0)
-        high = np.sort(v[v > LOW])[::-1] if len(v) > 3 else np.sort(v)[::-1]
-        top = np.concatenate([high[:3], np.full(3, LOW)])[:3]
-        counts = [np.log1p(len(high) - np.searchsorted(high[::-1], x)) for x in PASS]
-        cut = len(v) - 1 - len(v) // 20
-        out[i] = [*top, v.mean(), v.std(), np.partition(v, cut)[cut], *counts]
-    return out
-
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        return _evidence(Bags(texts), self.remembered, self.bias)
 
-N_COEF = FEATURES + FEATURES * (FEATURES + 1) // 2
-LOW, PASS = -0.5, (0.0, 0.5, 0.9)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.evidence(texts) @ self.slope + self.odds)))
 
 
-def _products(x: np.ndarray) -> np.ndarray:
-    """The features and all products of two."""
-    x = np.clip(x, -6, 6)
-    a, b = np.triu_indices(x.shape[1])
-    return np.concatenate([x, x[:, a] * x[:, b] / 4], 1)
+def _evidence(bags: Bags, values, bias: float) -> np.ndarray:
+    """Per text: its largest sentence margins, and the log of the number of words they are the largest of."""
+    tops = bags.tops(bags.margins(values(bags.words)), bias)
+    words = np.bincount(bags.text, bags.length, len(bags.sentences))
+    return np.column_stack([np.clip(tops, -4, 4), np.log1p(words)])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -213,38 +253,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
 def train(texts: list[str | None], labels: list[int], n_landmarks: int = LANDMARKS) -> Model:
     """A model from labelled texts.
 
-    Words of clean texts are negative.  Of toxic texts, the words that occur in more
-    of them than chance allows are positive (the landmarks begin with those), the rest
-    is unlabelled.  The document stage is fitted on other halves than its words
-    (two-fold), so that its scores hold for unseen texts.
+    The calibration is fitted on other halves than the machine (two-fold), so that it
+    holds for unseen texts, and also on copies with letters inserted, of both kinds of texts.
     """
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Model(np.zeros(ALPHABET**ORDER, np.float32), -1.0, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), float(np.log(rate / (1 - rate))))
-    ids: dict[str, int] = {}
-    words = [np.unique(np.fromiter([ids.setdefault(u, len(ids)) for u in units(t)], np.int32)) for t in texts]
-    vocabulary = list(ids)
-    # the document stage also sees copies with letters inserted, of both kinds of texts
+        return Model(np.zeros(ALPHABET**ORDER, np.float32), -1.0, np.zeros(TOPS + 1), float(np.log(rate / (1 - rate))))
     again = np.concatenate([np.flatnonzero(y == k)[: int(y.sum())] for k in (0, 1)])
     more, target = [distorted(texts[i], int(i)) for i in again], np.concatenate([y, y[again]])
     fold = np.arange(len(y)) % 2
-    feats = np.zeros((len(target), FEATURES))
-    for k in (0, 1):
-        if len(set(y[fold != k].tolist())) < 2:
-            fold[:] = 2  # too few labels to hold half of them out
-            break
-        weights, bias = _word_machine(vocabulary, [w for w, f in zip(words, fold) if f != k], y[fold != k], n_landmarks)
-        half = Model(weights, bias, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), 0.0)
+    if min(len(set(y[fold == k].tolist())) for k in (0, 1)) < 2:
+        fold[:] = 2  # too few labels to hold half of them out
+    seen = np.zeros((len(target), TOPS + 1))
+    for k in set(fold.tolist()):
+        learn = np.flatnonzero((fold != k) | (k == 2))
+        half = Model(*_machine([texts[i] for i in learn], y[learn], n_landmarks), np.zeros(TOPS + 1), 0.0)
         held = np.flatnonzero(np.concatenate([fold, fold[again]]) == k)
-        feats[held] = _features_in_parts([(texts + more)[i] for i in held], half)
-    weights, bias = _word_machine(vocabulary, words, y, n_landmarks)
-    whole = Model(weights, bias, np.zeros(N_COEF), np.zeros(FEATURES), np.ones(FEATURES), 0.0)
-    if (fold == 2).any():
-        feats = _features_in_parts(texts + more, whole)
-    mean, scale = feats.mean(0), feats.std(0) + 1e-6
-    coef, odds = _logistic(_products((feats - mean) / scale), target.astype(float))
-    return Model(weights, bias, coef, mean, scale, odds)
+        seen[held] = _in_parts([texts[i] if i < len(y) else more[i - len(y)] for i in held], half)
+    slope, odds = _logistic(seen, target.astype(float))
+    weights, bias = _machine(texts, y, n_landmarks)
+    return Model(weights, bias, slope, odds)
+
+
+def _in_parts(texts: list[str | None], model: Model) -> np.ndarray:
+    return np.concatenate([model.evidence(texts[i : i + 250]) for i in range(0, len(texts), 250)])
 
 
 def distorted(text: str | None, seed: int) -> str:
@@ -260,47 +293,79 @@ def distorted(text: str | None, seed: int) -> str:
     return " ".join(out)
 
 
-def _features_in_parts(texts: list[str | None], model: Model) -> np.ndarray:
-    return np.concatenate([document_features(texts[i : i + 250], model.remembered) for i in range(0, len(texts), 250)])
-
-
-def _word_machine(vocabulary: list[str], words: list[np.ndarray], y: np.ndarray, n_landmarks: int) -> tuple[np.ndarray, float]:
-    """Weights of letter triples and the bias, from the documents' sets of words (places in the vocabulary)."""
-    n = len(vocabulary)
-    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *[w for w, v in zip(words, y) if v == k]]), minlength=n) for k in (0, 1)]
-    good, bad = count
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+def _lifts(bags: Bags, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word: log odds of a toxic text given the word, less one and a half standard errors; and its number of texts."""
+    texts = np.repeat(bags.text, bags.length)
+    pairs = np.unique(texts * np.int64(len(bags.words)) + bags.words_of)
+    text, word = pairs // max(1, len(bags.words)), pairs % max(1, len(bags.words))
+    bad, good = (np.bincount(word[y[text] == k], minlength=len(bags.words)) for k in (1, 0))
     a, b = bad + 0.25, good + 0.25
-    # log odds of a toxic text given the word, less one and a half standard errors
-    lift = np.log(a / n1) - np.log(b / n0) - 1.5 * np.sqrt(1 / a + 1 / b)
-    long = np.fromiter((len(w) >= ORDER for w in vocabulary), bool, n)
-    seen = np.flatnonzero(long & (bad > 0))
-    place = sorted(seen[np.argsort(-lift[seen], kind="stable")[:3000]].tolist(), key=lambda i: (-lift[i], vocabulary[i]))
-    positive_at = [i for i in place if lift[i] > 0][:1500] or place[:10]
-    chosen = set(positive_at)
-    negative_at = [i for i in np.argsort(-good, kind="stable")[:16_000].tolist() if good[i] and long[i] and i not in chosen][:12_000]
-    positive, negative = [vocabulary[i] for i in positive_at], [vocabulary[i] for i in negative_at]
-    if not positive or not negative:
-        return np.zeros(ALPHABET**ORDER, np.float32), -1.0
-    spread = negative[:: max(1, len(negative) // max(1, n_landmarks // 2))]
-    landmarks = list(dict.fromkeys(positive[: n_landmarks - n_landmarks // 2] + spread))[:n_landmarks]
+    lift = np.log(a / max(1, int(y.sum()))) - np.log(b / max(1, int((1 - y).sum()))) - 1.5 * np.sqrt(1 / a + 1 / b)
+    return np.where(bad > 0, lift, -1.0), bad + good
+
+
+def _machine(texts: list[str | None], y: np.ndarray, n_landmarks: int) -> tuple[np.ndarray, float]:
+    """Weights of letter triples and the bias, by rounds of choosing each toxic text's most toxic sentence."""
+    bags = Bags(texts)
+    none = np.zeros(ALPHABET**ORDER, np.float32), -1.0
+    if not len(bags.start):
+        return none
+    lift, count = _lifts(bags, y)
+    toxic = np.flatnonzero((y == 1) & (bags.sentences > 0))
+    first = np.cumsum(bags.sentences) - bags.sentences
+    clean = np.flatnonzero(y[bags.text] == 0)
+    if not len(toxic) or not len(clean):
+        return none
+    # landmarks: the words most on the toxic side, and common ones of all
+    long = np.fromiter((len(w) >= ORDER for w in bags.words), bool, len(bags.words))
+    side = np.flatnonzero(long & (lift > 0))
+    side = sorted(side.tolist(), key=lambda i: (-lift[i], bags.words[i]))[: n_landmarks // 2]
+    rest = [i for i in np.argsort(-count, kind="stable").tolist() if long[i] and i not in set(side)][: 4 * n_landmarks]
+    landmarks = [bags.words[i] for i in side + rest[:: max(1, len(rest) // max(1, n_landmarks - len(side)))][: n_landmarks - len(side)]]
+    if not landmarks:
+        return none
     kmm = kernel(landmarks, landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
     keep = value > 1e-4 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])  # K^-1/2 up to a rotation
-    rows = positive + negative
-    x = kernel(rows, landmarks).astype(np.float64) @ root
-    label = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    count = np.r_[bad[positive_at], good[negative_at]].astype(np.float64)
-    # words count by how many texts have them, toxic ones also by how sure they are
-    weight = np.sqrt(count) * np.r_[np.maximum(lift[positive_at], 0.05), np.ones(len(negative))]
-    weight = 500 * weight / np.where(label > 0, weight[label > 0].sum(), weight[label < 0].sum())
-    w, bias = _svm(x, label, weight)
-    alpha = root @ w
+    values, features = np.maximum(lift, 0) - 1e-9, {}
+    rng = np.random.default_rng(5)
+    weights, bias = none
+    for _ in range(ROUNDS):
+        margins = bags.margins(values)
+        best = np.array([f + int(np.argmax(margins[f : f + n])) for f, n in zip(first[toxic].tolist(), bags.sentences[toxic].tolist())])
+        best = np.union1d(best, np.flatnonzero((margins > 0) & (y[bags.text] == 1)))
+        hard = clean[np.argsort(-margins[clean], kind="stable")[: CLEAN_SENTENCES // 2]]
+        usual = rng.permutation(clean)[: CLEAN_SENTENCES // 2]
+        other = bags.words_of[bags.start[usual] + (rng.random(len(usual)) * bags.length[usual]).astype(np.int64)]
+        good = np.concatenate([bags.witnesses(values, hard), other])
+        rows, label, weight = [], [], []
+        for words, side in ((bags.witnesses(values, best), 1.0), (good, -1.0)):
+            word, times = np.unique(words, return_counts=True)
+            rows.append(word)
+            label.append(np.full(len(word), side))
+            weight.append(times * ((500 if side > 0 else 1500) / len(words)))
+        x = _nystrom([bags.words[i] for i in np.concatenate(rows)], landmarks, root, features)
+        w, bias = _svm(x, np.concatenate(label), np.concatenate(weight))
+        weights = _folded(landmarks, root @ w)
+        values = Model(weights, bias, np.zeros(TOPS + 1), 0.0).values(bags.words)
+    return weights, bias
+
+
+def _folded(landmarks: list[str], alpha: np.ndarray) -> np.ndarray:
+    """The sum of alpha times the landmarks' kernels as one weight per letter triple."""
     table = np.zeros(ALPHABET**ORDER)
     for which, code, u in subsequences(landmarks):
         np.add.at(table, code, u * alpha[which][:, None])
-    return table.astype(np.float32), bias
+    return table.astype(np.float32)
+
+
+def _nystrom(words: list[str], landmarks: list[str], root: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
+    """Features of words: their kernels with the landmarks, times the root; remembered in ``known``."""
+    new = [w for w in words if w not in known]
+    for a in range(0, len(new), 5_000):  # bounds the kernel's rows
+        known.update(zip(new[a : a + 5_000], (kernel(new[a : a + 5_000], landmarks).astype(np.float64) @ root).astype(np.float32)))
+    return np.array([known[w] for w in words], np.float64)
 
 
 def held_out(id_col: Column) -> Column:
@@ -308,18 +373,25 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES
+) -> Model:
     """A model from at most ``rows`` labelled rows outside the held-out third, by the hashes of their ids.
 
-    Labels are joined to texts by id after the bound, so few texts move; a label that is
-    null or an id that is has no part.
+    Labels are joined to texts by id after the bound, so few texts move.  Texts are
+    whole; rows at the end of the order go until all texts together have at most ``max_bytes``.
+    A label that is null or an id that is has no part.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     # toxic rows are few: they may be half of the bound; the odds are set right by the true counts
     some = bounded_sample(known.where("y = 1"), ["id"], rows // 2).unionByName(bounded_sample(known.where("y = 0"), ["id"], rows // 2))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    got = text.join(F.broadcast(some.select("id", "y")), "id").orderBy(F.xxhash64("id"), "id", "text").limit(2 * rows).select("text", "y").toPandas()
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    got = text.join(F.broadcast(some.select("id", "y")), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # at most ``rows`` rows
+    got = scratch.save(got, "labelled")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    fits = F.sum(size).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)) <= max_bytes
+    got = got.withColumn("fits", fits).where("fits").orderBy(F.xxhash64("id"), "id").select("text", "y").toPandas()
     model = train(got["text"].tolist(), got["y"].tolist())
     true = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     used = got["y"].value_counts().to_dict()
@@ -332,10 +404,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     """docs with a column of scores between 0 and 1 of each whole text; null and empty texts have one too."""
     import pandas as pd
 
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # one float per letter triple: 1 MB
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
+        for t in scratch.tidied(texts):
             out = [sent.value.scores(t.iloc[i : i + CHUNK].where(t.iloc[i : i + CHUNK].notna(), "").tolist()) for i in range(0, len(t), CHUNK)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
@@ -347,11 +420,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 CHUNK = 500
 
 
-def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with toxic_score and toxic_predicted (1 at the threshold or above); all columns and rows kept.
+def detect(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    score_col: str = "toxic_score", predicted_col: str = "toxic_predicted",
+) -> DataFrame:
+    """docs with toxic_score and toxic_predicted (1 at the threshold or above); all rows and other columns kept.
 
     Empty tables pass; without usable labels of both kinds every score is the labels' rate.
     """
     model = fit(docs, labels, id_col, text_col)
-    out = score(docs, model, text_col, "toxic_score")
-    return out.withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+    out = score(docs, model, text_col, score_col)
+    return out.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))

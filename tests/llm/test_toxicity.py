@@ -21,7 +21,9 @@ def brute_kernel(a, b):
                 out[u] = out.get(u, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
         return out
 
-    x, y = phi(a), phi(b)
+    if min(len(a), len(b)) < toxicity.ORDER:
+        return 0.0
+    x, y = phi("<" + a + ">"), phi("<" + b + ">")  # the start and the end are letters
     dot = lambda p, q: sum(v * q.get(u, 0) for u, v in p.items())
     return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)) if x and y else 0.0
 
@@ -34,10 +36,43 @@ def test_kernel_against_definition():
             assert got[i, j] == pytest.approx(brute_kernel(a, b), abs=1e-5)
 
 
-def test_units():
-    assert toxicity.units("An i.d.i.o.t, i d i o t! 1d10t") == ["an", "idiot", "idiot", "idiot"]
-    assert toxicity.units(None) == [] and toxicity.units(" \n") == [] and toxicity.units("a b") == []
-    assert all(len(u) <= toxicity.PIECE for u in toxicity.units("x" * 1000 + " " + "y " * 300))
+def test_sentences():
+    assert toxicity.sentences("An i.d.i.o.t, i d i o t! 1d10t\nx y z. Q r") == [["an", "idiot", "idiot"], ["idiot"], ["xyz"]]
+    assert toxicity.sentences(None) == [] and toxicity.sentences(" \n") == [] and toxicity.sentences("a b") == []
+    assert all(len(w) <= toxicity.PIECE for s in toxicity.sentences("x" * 1000 + " " + "y " * 300) for w in s)
+
+
+def test_scores_against_explicit_kernels():
+    """The folded machine is the sum of alpha times explicit kernels; a document is its sentences' largest margins, calibrated."""
+    rng = np.random.default_rng(4)
+    landmarks, alpha = ["idiot", "banana", "worthless", "the", "öde"], rng.normal(size=5)
+    slope = rng.normal(size=toxicity.TOPS + 1)
+    m = toxicity.Model(toxicity._folded(landmarks, alpha), -0.3, slope, 0.2)
+    texts = ["you id-iot. the banana is here!\nworth less", "one", "", None, "a. b.", "öde worthles. word. other words. the theme"]
+    for t, got in zip(texts, m.scores(texts)):
+        margins, n = [], 0
+        for s in toxicity.sentences(t):
+            margins.append(max(-0.3 + sum(x * brute_kernel(w, y) for x, y in zip(alpha, landmarks)) for w in s))
+            n += len(s)
+        tops = (sorted(margins, reverse=True) + [-0.3] * toxicity.TOPS)[: toxicity.TOPS]
+        z = float(np.dot(slope, [*np.clip(tops, -4, 4), np.log1p(n)])) + 0.2
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_training_reads_whole_texts_of_bounded_rows(spark):
+    texts, labels = sample(300)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    l = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")  # noqa: E741
+    seen = []
+    import gridscope.llm.toxicity as module
+
+    real = module.train
+    module.train = lambda t, y: seen.append(t) or real(t, y)
+    try:
+        toxicity.fit(d, l, max_bytes=20_000)
+    finally:
+        module.train = real
+    assert 10 < len(seen[0]) < 200 and sum(len(t.encode()) for t in seen[0]) <= 20_000 and set(seen[0]) <= set(texts)
 
 
 def sample(n=1200, seed=0):
