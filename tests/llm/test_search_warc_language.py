@@ -62,9 +62,34 @@ def test_blocks_give_distinct_ids():
     for q in range(3):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         want = sorted((d[ids == i].min(), i) for i in set(ids.tolist()) - {ids[q]})[:10]
-        mine = got.iloc[q * 10 : q * 10 + 10]
-        assert (mine["query_id"] == ids[q]).all() and mine["vec_id"].tolist() == [i for _, i in want]
-        assert np.allclose(mine["score"], [s for s, _ in want], atol=1e-12)
+        mine = [c[q * 10 : q * 10 + 10] for c in got]
+        assert (mine[0] == ids[q]).all() and mine[1].tolist() == [i for _, i in want]
+        assert np.allclose(mine[2], [s for s, _ in want], atol=1e-12)
+    none = np.zeros((3, 400), bool)
+    assert [len(c) for c in imi._best(x[:3], ids[:3], x, ids, 10, none)] == [0, 0, 0]
+
+
+def test_share_follows_the_structure_of_the_vectors(spark, monkeypatch):
+    """Clustered vectors are found in few cells, vectors without structure in most; queries and entries go in parts."""
+    rng = np.random.default_rng(5)
+    flat = rng.normal(size=(4000, 16))
+    centre = rng.normal(size=(200, 16)) * 5
+    clustered = centre[rng.integers(0, 200, 4000)] + rng.normal(size=(4000, 16)) * 0.3
+    shares = []
+    for x in (flat, clustered):
+        books = [imi.train(x[:, :8], 9), imi.train(x[:, 8:], 9)]
+        shares.append(imi.needed_share(x, books, 8, 10))
+    assert shares[0] > 0.3 and shares[1] < 0.1
+    monkeypatch.setattr(imi, "MIN_ENTRIES", 50)
+    monkeypatch.setattr(imi, "PART_QUERIES", 15)
+    monkeypatch.setattr(imi, "ZONE_ENTRIES", 150)
+    monkeypatch.setattr(imi, "BROADCAST_BYTES", 0)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in imi.search(d, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    hit = sum(len({v for _, v in got[q]} & set(brute(np.arange(4000), clustered, q))) for q in range(0, 4000, 50))
+    assert len(got) == 80 and hit / 800 >= 0.9
 
 
 def test_walk_is_best_first():
