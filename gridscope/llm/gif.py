@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscope import ship
+from gridscope.llm import scratch
+
 SIDE = 24
 UNIT = SIDE * SIDE
 DELAY = 4  # hundredths of a second
@@ -331,7 +334,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in scratch.tidied(batches):
             for rows in _cut(b):
                 got = [to_payload(t.as_py()) for t in rows.column(1)]
                 yield pa.RecordBatch.from_arrays(
@@ -339,6 +342,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=["id", "n_bytes", "media"],
                 )
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, MEDIA)
 
@@ -359,7 +363,7 @@ def decode_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("at_cs", pa.int32()), ("delay_cs", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
-        for b in batches:
+        for b in scratch.tidied(batches):
             for rows in _cut(b, 2):
                 got = decode_gifs([x.as_py() for x in rows.column(2)])
                 frames, samples = [], []
@@ -377,6 +381,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                     names=["id", "n_bytes", "media", "width", "height", "frames", "samples"],
                 )
 
+    ship(media.sparkSession)
     return media.mapInArrow(run, FRAMES)
 
 
@@ -388,7 +393,6 @@ def _levels(channel: np.ndarray) -> np.ndarray:
 
 
 
-
 def digest(decoded: DataFrame) -> DataFrame:
     """Digest columns of decoded media; the feature is the grey histogram of all frames."""
 

@@ -15,6 +15,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,36 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+@lru_cache(maxsize=4)
+def character_map(blob: bytes) -> dict[str, str]:
+    """The sequences that a model's normaliser replaces: a double-array trie of them, then their replacements.
+
+    Fixed by the format: the trie's size in bytes; units of 32 bits with, from the lowest bit, a
+    label or the lower value bits, a flag for an end (bit 8), a flag for wide offsets (bit 9),
+    and the offset; a replacement ends with a zero byte.
+    """
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts, every = np.frombuffer(blob, np.uint32, size // 4, 4), blob[4 + size :], np.arange(1, 256)
+
+    def children(at: int) -> int:
+        u = int(units[at])
+        return at ^ ((u >> 10) << ((u & 0x200) >> 6))
+
+    out, open_ = {}, [(children(0), b"")]
+    while open_:
+        base, key = open_.pop()
+        at = base ^ every
+        for byte in every[(at < len(units)) & (units[np.minimum(at, len(units) - 1)] & 0x800000FF == every)].tolist():
+            below, longer = children(base ^ byte), key + bytes([byte])
+            if units[base ^ byte] & 0x100:
+                begin = int(units[below]) & 0x7FFFFFFF
+                out[longer.decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+            open_.append((below, longer))
+    return out
+
+
 class Pieces:
     """A model file's pieces, type and normaliser flags; small enough for every task (one copy per executor process)."""
 
@@ -82,13 +113,27 @@ class Pieces:
                 got = dict(_fields(value))
                 charsmap = got.get(2, b"")
                 self.prefix, self.trim, self.escape = (bool(got.get(n, 1)) for n in (3, 4, 5))
-        if charsmap or not self.escape or self.type not in (UNIGRAM, BPE):
-            raise ValueError("a model with a character map, unescaped spaces or another type than unigram or BPE")
-        self._index()
+                if got.get(24, 0):
+                    raise ValueError("a model with spaces at the ends of words")
+        if not self.escape or self.type not in (UNIGRAM, BPE) or (self.type == BPE and UNUSED in self.kind):
+            raise ValueError("a model with unescaped spaces, with unused merges, or of another type than unigram or BPE")
+        self._index(character_map(charsmap))
 
-    def _index(self) -> None:
+    def _index(self, characters: dict[str, str] | None = None) -> None:
         self.unknown = self.kind.index(UNKNOWN)
-        usable = [i for i, k in enumerate(self.kind) if k in (NORMAL, USER_DEFINED)]
+        given = {self.text[i]: i for i, k in enumerate(self.kind) if k == USER_DEFINED}
+        normal = [self.score[i] for i, k in enumerate(self.kind) if k == NORMAL]
+        # given symbols: a byte-pair model cuts them out before it merges; in a unigram model they outscore nearly all
+        # (measured of the library: a tenth for each byte beyond the first)
+        self.symbols = given if self.type == BPE else {}
+        self.score = [(len(t.encode()) - 1) / 10 if k == USER_DEFINED else x for t, x, k in zip(self.text, self.score, self.kind)]
+        either = "|".join(map(re.escape, sorted(given, key=len, reverse=True)))
+        self.symbol_cut = re.compile(f"({either})") if self.symbols else None
+        self.characters = characters or {}
+        self.longest_character = max(map(len, self.characters), default=0)
+        first = "[" + "".join(re.escape(c) for c in sorted({c[0] for c in self.characters})) + "]"
+        self.mapped = re.compile((f"(?P<symbol>{either})|" if either else "(?P<symbol>(?!))|") + first) if self.characters else None
+        usable = [i for i, k in enumerate(self.kind) if k == NORMAL or k == USER_DEFINED and self.type == UNIGRAM]
         keys = np.array([_hash_of(self.text[i]) for i in usable], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable, np.int32)[order]
@@ -98,7 +143,7 @@ class Pieces:
         self.lookup = {self.text[i]: (self.score[i], i) for i in usable}
         self.longest = max((len(self.text[i]) for i in usable), default=1)
         self.bytes = {int(self.text[i][3:5], 16): i for i, k in enumerate(self.kind) if k == BYTE}
-        self.low = min((self.score[i] for i in usable), default=0.0) - 10
+        self.low = min(normal, default=0.0) - 10
         # where no piece goes across, texts are cut
         many = [self.text[i] for i in usable if len(self.text[i]) > 1]
         joins = any(re.search("[^" + SPACE + "]" + SPACE, t) for t in many)
@@ -123,7 +168,36 @@ class Pieces:
 
     # -- encoding ---------------------------------------------------------------------------------
 
+    def _map(self, text: str) -> str:
+        """The text with the longest sequences of the character map replaced, from the left; given symbols stay."""
+        out, at = [], 0
+        while m := self.mapped.search(text, at):
+            i = m.start()
+            out.append(text[at:i])
+            if m["symbol"]:
+                out.append(m["symbol"])
+                at = m.end()
+                continue
+            for n in range(self.longest_character, 0, -1):
+                got = self.characters.get(text[i : i + n])
+                if got is not None:
+                    out.append(got)
+                    at = min(len(text), i + n)
+                    break
+            else:
+                out.append(text[i])
+                at = i + 1
+        return "".join([*out, text[at:]])
+
+    def _cut(self, text: str) -> list[str]:
+        """The units of a normalised text."""
+        if not self.symbol_cut:
+            return self.units.findall(text)
+        return [u for i, part in enumerate(self.symbol_cut.split(text)) for u in ([part] if i % 2 else self.units.findall(part))]
+
     def normalise(self, text: str) -> str:
+        if self.mapped:
+            text = self._map(text)
         if self.trim:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -139,7 +213,10 @@ class Pieces:
     def encode_units(self, units: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(units)
         lens = np.fromiter(map(len, units), np.int64, len(units))
-        for n in np.unique(lens).tolist():
+        for i, u in enumerate(units if self.symbols else []):
+            if u in self.symbols:
+                out[i], lens[i] = [self.symbols[u]], 0
+        for n in np.unique(lens[lens > 0]).tolist():
             where = np.flatnonzero(lens == n).tolist()
             if n > LONG:
                 for i in where:
@@ -171,13 +248,13 @@ class Pieces:
         """Best segmentations of words of n characters by the sum of scores; of equals, the longest last piece."""
         h, powers = _prefix_hashes(words, n)
         rows = np.arange(len(words))
-        best = np.full((len(words), n + 1), NONE, np.float64)
+        best = np.full((len(words), n + 1), NONE, np.float32)  # sums in the library's precision, which decides near ties
         best[:, 0] = 0
         back, piece = np.zeros((len(words), n + 1), np.int64), np.full((len(words), n + 1), -1, np.int64)
         for e in range(1, n + 1):
             s = np.arange(max(0, e - self.longest), e)
             at, there = self.probe(h[:, e, None] - h[:, s] * powers[e - s])
-            value = np.where(there, self.key_score[at], np.where(s == e - 1, self.low, NONE)) + best[:, s]
+            value = np.where(there, self.key_score[at], np.where(s == e - 1, np.float32(self.low), NONE)) + best[:, s]
             top = np.argmax(value, 1)
             best[:, e], back[:, e] = value[rows, top], s[top]
             piece[:, e] = np.where(there[rows, top], self.ids[at[rows, top]], -1)
@@ -258,7 +335,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
         memory = self.__dict__.setdefault("_memory", {})
-        cut = [self.units.findall(self.normalise(t)) for t in texts]
+        cut = [self._cut(self.normalise(t)) for t in texts]
         distinct = set().union(*cut) if cut else set()
         new = [u for u in distinct if u not in memory]
         if len(memory) + len(new) > MEMORY_UNITS:
@@ -270,7 +347,11 @@ class Pieces:
         lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.int32)
         at = np.cumsum(lens) - lens
-        return [_gather(flat, at, lens, np.fromiter(map(place.__getitem__, u), np.int64, len(u))) for u in cut]
+        got = [_gather(flat, at, lens, np.fromiter(map(place.__getitem__, u), np.int64, len(u))) for u in cut]
+        if self.fallback and self.bytes:
+            return got
+        # a run of unknown characters is one unknown piece
+        return [ids[np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]] if len(ids) else ids for ids in got]
 
     def decode(self, ids: np.ndarray) -> str:
         data = _gather(self.raw, self.raw_at, self.raw_len, ids.astype(np.int64)).tobytes()

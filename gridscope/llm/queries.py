@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscope import ship
-from gridscope.llm import chat, licenses, mixing, warc
+from gridscope.llm import chat, licenses, mixing, scratch, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +28,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridscope.llm.gif import decode_media, digest, encode_texts
 
-    return digest(decode_media(encode_texts(table(spark, sf_dir, "documents"))))
+    stored = scratch.save(encode_texts(table(spark, sf_dir, "documents")), "media")  # in the shared folder, and read from there
+    return digest(decode_media(stored))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
