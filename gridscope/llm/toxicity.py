@@ -20,6 +20,7 @@ toxic sentences.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -154,13 +155,39 @@ class Bags:
 
     def __init__(self, texts: list[str | None]):
         ids: dict[str, int] = {}
-        cut = [sentences(t) for t in texts]
-        self.words_of = np.fromiter((ids.setdefault(w, len(ids)) for t in cut for s in t for w in s), np.int32)
-        self.length = np.fromiter((len(s) for t in cut for s in t), np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.sentences = np.fromiter(map(len, cut), np.int64, len(cut))  # of each text
-        self.text = np.repeat(np.arange(len(cut)), self.sentences)  # of each sentence
-        self.words = list(ids)
+        words, length, count = array("i"), array("q"), array("q")
+        for t in texts:
+            cut = sentences(t)
+            count.append(len(cut))
+            for s in cut:
+                length.append(len(s))
+                words.extend([ids.setdefault(w, len(ids)) for w in s])
+        self.words, self.used = list(ids), None
+        self._set(np.array(words, np.int32), np.array(length, np.int64), np.array(count, np.int64))
+
+    def _set(self, words_of: np.ndarray, length: np.ndarray, sentences: np.ndarray) -> None:
+        self.words_of, self.length, self.sentences = words_of, length, sentences
+        self.start = np.cumsum(length) - length
+        self.text = np.repeat(np.arange(len(sentences)), sentences)  # of each sentence
+
+    def part(self, texts: np.ndarray) -> Bags:
+        """Some of the texts (ascending), with the same list of words."""
+        some = np.zeros(len(self.sentences), bool)
+        some[texts] = True
+        sentence = some[self.text]
+        out = Bags.__new__(Bags)
+        out.words = self.words
+        out._set(self.words_of[np.repeat(sentence, self.length)], self.length[sentence], self.sentences[some])
+        out.used = np.unique(out.words_of)
+        return out
+
+    def values(self, values) -> np.ndarray:
+        """values(list of words) for each word; nothing is said of words that no text here has."""
+        if self.used is None:
+            return values(self.words)
+        out = np.full(len(self.words), -np.inf)
+        out[self.used] = values([self.words[i] for i in self.used.tolist()])
+        return out
 
     def margins(self, values: np.ndarray) -> np.ndarray:
         """Per sentence: the largest value of its words."""
@@ -216,7 +243,7 @@ class Model:
 
 def _evidence(bags: Bags, values, bias: float) -> np.ndarray:
     """Per text: its largest sentence margins, and the log of the number of words they are the largest of."""
-    tops = bags.tops(bags.margins(values(bags.words)), bias)
+    tops = bags.tops(bags.margins(bags.values(values)), bias)
     words = np.bincount(bags.text, bags.length, len(bags.sentences))
     return np.column_stack([np.clip(tops, -4, 4), np.log1p(words)])
 
@@ -260,26 +287,24 @@ def train(texts: list[str | None], labels: list[int], n_landmarks: int = LANDMAR
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return Model(np.zeros(ALPHABET**ORDER, np.float32), -1.0, np.zeros(TOPS + 1), float(np.log(rate / (1 - rate))))
-    again = np.concatenate([np.flatnonzero(y == k)[: int(y.sum())] for k in (0, 1)])
-    more, target = [distorted(texts[i], int(i)) for i in again], np.concatenate([y, y[again]])
+    again = np.sort(np.concatenate([np.flatnonzero(y == k)[: int(y.sum())] for k in (0, 1)]))
+    target = np.concatenate([y, y[again]])
     fold = np.arange(len(y)) % 2
     if min(len(set(y[fold == k].tolist())) for k in (0, 1)) < 2:
         fold[:] = 2  # too few labels to hold half of them out
+    bags, more = Bags(texts), Bags([distorted(texts[i], int(i)) for i in again])
     seen = np.zeros((len(target), TOPS + 1))
-    for k in set(fold.tolist()):
-        learn = np.flatnonzero((fold != k) | (k == 2))
-        half = Model(*_machine([texts[i] for i in learn], y[learn], n_landmarks), np.zeros(TOPS + 1), 0.0)
-        held = np.flatnonzero(np.concatenate([fold, fold[again]]) == k)
-        seen[held] = _in_parts([texts[i] if i < len(y) else more[i - len(y)] for i in held], half)
+    for k in sorted(set(fold.tolist())):
+        learn, held = np.flatnonzero((fold != k) | (k == 2)), np.flatnonzero(fold == k)
+        half = Model(*_machine(bags.part(learn), y[learn], n_landmarks), np.zeros(TOPS + 1), 0.0)
+        seen[held] = _evidence(bags.part(held), half.values, half.bias)
+        copies = np.flatnonzero(fold[again] == k)
+        seen[len(y) + copies] = _evidence(more.part(copies), half.values, half.bias)
     slope, odds = _logistic(seen, target.astype(float))
-    weights, bias = _machine(texts, y, n_landmarks)
+    weights, bias = _machine(bags, y, n_landmarks)
     return Model(weights, bias, slope, odds)
 
 
-def _in_parts(texts: list[str | None], model: Model) -> np.ndarray:
-    return np.concatenate([model.evidence(texts[i : i + 250]) for i in range(0, len(texts), 250)])
-
-
 def distorted(text: str | None, seed: int) -> str:
     """The text with a letter inserted into about half of its words of four letters or more."""
     rng = np.random.default_rng(seed)
@@ -295,8 +320,7 @@ def distorted(text: str | None, seed: int) -> str:
 
 def _lifts(bags: Bags, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per word: log odds of a toxic text given the word, less one and a half standard errors; and its number of texts."""
-    texts = np.repeat(bags.text, bags.length)
-    pairs = np.unique(texts * np.int64(len(bags.words)) + bags.words_of)
+    pairs = np.unique(np.repeat(bags.text, bags.length) * np.int64(len(bags.words)) + bags.words_of)
     text, word = pairs // max(1, len(bags.words)), pairs % max(1, len(bags.words))
     bad, good = (np.bincount(word[y[text] == k], minlength=len(bags.words)) for k in (1, 0))
     a, b = bad + 0.25, good + 0.25
@@ -304,9 +328,8 @@ def _lifts(bags: Bags, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(bad > 0, lift, -1.0), bad + good
 
 
-def _machine(texts: list[str | None], y: np.ndarray, n_landmarks: int) -> tuple[np.ndarray, float]:
-    """Weights of letter triples and the bias, by rounds of choosing each toxic text's most toxic sentence."""
-    bags = Bags(texts)
+def _machine(bags: Bags, y: np.ndarray, n_landmarks: int) -> tuple[np.ndarray, float]:
+    """Weights of letter triples and the bias, by rounds of choosing the toxic texts' toxic sentences."""
     none = np.zeros(ALPHABET**ORDER, np.float32), -1.0
     if not len(bags.start):
         return none
@@ -320,7 +343,8 @@ def _machine(texts: list[str | None], y: np.ndarray, n_landmarks: int) -> tuple[
     long = np.fromiter((len(w) >= ORDER for w in bags.words), bool, len(bags.words))
     side = np.flatnonzero(long & (lift > 0))
     side = sorted(side.tolist(), key=lambda i: (-lift[i], bags.words[i]))[: n_landmarks // 2]
-    rest = [i for i in np.argsort(-count, kind="stable").tolist() if long[i] and i not in set(side)][: 4 * n_landmarks]
+    taken = set(side)
+    rest = [i for i in np.argsort(-count, kind="stable").tolist() if long[i] and i not in taken][: 4 * n_landmarks]
     landmarks = [bags.words[i] for i in side + rest[:: max(1, len(rest) // max(1, n_landmarks - len(side)))][: n_landmarks - len(side)]]
     if not landmarks:
         return none
@@ -348,7 +372,7 @@ def _machine(texts: list[str | None], y: np.ndarray, n_landmarks: int) -> tuple[
         x = _nystrom([bags.words[i] for i in np.concatenate(rows)], landmarks, root, features)
         w, bias = _svm(x, np.concatenate(label), np.concatenate(weight))
         weights = _folded(landmarks, root @ w)
-        values = Model(weights, bias, np.zeros(TOPS + 1), 0.0).values(bags.words)
+        values = bags.values(Model(weights, bias, np.zeros(TOPS + 1), 0.0).values)
     return weights, bias
 
 
