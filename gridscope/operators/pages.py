@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscope import ship
 from gridscope.schemas import LATTICE
 
 KEYS = ["file", "page"]
@@ -22,14 +23,18 @@ MEASURED = (
 
 def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
     for b in batches:
-        d = b.to_pydict()
-        for i in range(b.num_rows):
-            yield d["file"][i], d["page"][i], np.array(b.column("pixels")[i].values.to_numpy(zero_copy_only=False)).reshape(d["height"][i], d["width"][i])
+        narrow = [b.column(c).to_pylist() for c in ("file", "page", "height", "width")]
+        for i, (file, page, height, width) in enumerate(zip(*narrow)):
+            yield file, page, np.array(b.column("pixels")[i].values.to_numpy(zero_copy_only=False)).reshape(height, width)
 
 
 def map_pages(pages: DataFrame, f: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
-    """Rows (file, page, ...) that a function makes of each page's image; schema names the function's columns."""
-    full = "file string, page int, " + schema
+    """Rows (file, page, ..., error) that a function makes of each page's image; schema names the function's columns.
+
+    A page that can't be read or measured is one row with the error and nulls; the others go on.
+    """
+    ship(pages.sparkSession)
+    full = "file string, page int, " + schema + ", error string"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -37,12 +42,17 @@ def map_pages(pages: DataFrame, f: Callable[[np.ndarray], list[dict]], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, page, image in _images(batches):
-            rows = [{"file": file, "page": page, **r} for r in f(image)]
+            try:
+                rows = [{"file": file, "page": page, **r} for r in f(image)]
+            except Exception as e:  # noqa: BLE001  a bad page is a row, not the end of the run
+                rows = [{"file": file, "page": page, "error": f"{type(e).__name__}: {e}"}]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    ok = pages.where("error IS NULL").select("file", "page", "height", "width", "pixels")
-    return ok.mapInArrow(run, full)
+    ok = pages.where("error IS NULL").select("file", "page", "height", "width", "pixels").mapInArrow(run, full)
+    names = [n for n in kind.names if n not in ("file", "page", "error")]
+    bad = pages.where("error IS NOT NULL").select("file", "page", *[F.lit(None).cast(ok.schema[n].dataType).alias(n) for n in names], "error")
+    return ok.unionByName(bad) if not pages.isStreaming else ok
 
 
 def detect_centers(pages: DataFrame, **options) -> DataFrame:
@@ -190,7 +200,8 @@ def index_lattice(points: DataFrame, page: str = "page", layout: str = "auto") -
         rc = index_points(d[["x", "y"]].to_numpy(float), layout)
         return pd.DataFrame({"page": d["page"].astype("int32"), "seed_id": d["id"], "row_idx": rc[:, 0], "col_idx": rc[:, 1], "indexed": rc[:, 0] >= 0})
 
-    src = points.select(F.col(page).cast("int").alias("page"), F.col("id").cast("long").alias("id"), "x", "y")
+    ship(points.sparkSession)
+    src = points.where("id IS NOT NULL").select(F.col(page).cast("int").alias("page"), F.col("id").cast("long").alias("id"), "x", "y")
     return src.groupBy("page").applyInPandas(f, LATTICE)
 
 

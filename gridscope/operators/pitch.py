@@ -39,25 +39,44 @@ def residual_to_grid(x: Column, pitch: Column, origin: Column) -> tuple[Column,
 
 
 def index_pitch(points: DataFrame, start: DataFrame, rounds: int = 2, trim: float = 0.35, group: Sequence[str] = ()) -> DataFrame:
-    """Pitch per axis refined by least squares on lattice indices, residuals over ``trim`` pitches left out.
+    """(group, pitch_x, pitch_y, ox, oy, kept): pitch per axis refined by least squares on lattice indices.
 
-    start: (group, pitch_x, pitch_y), one row per group.  The origin is the median residual-free
-    place: the smallest coordinate of the group.
+    start: (group, pitch_x, pitch_y), one row per group.  Indices count from the 5th
+    percentile of the coordinates.  Each round fits both axes to the points kept so far
+    and then keeps those within ``trim`` pitches of both fits.  Groups with fewer than three
+    points left, and an axis whose points all have one index, keep what they had.
     """
-    now = start.select(*group, "pitch_x", "pitch_y")
-    first = points.groupBy(*group).agg(F.min("x").alias("ox"), F.min("y").alias("oy"))
-    now = now.join(first, list(group)) if group else now.crossJoin(first)  # one row each
+    by = list(group)
+
+    def meet(rows: DataFrame, small: DataFrame) -> DataFrame:
+        return rows.join(small, by) if by else rows.crossJoin(F.broadcast(small))  # one row
+
+    first = points.groupBy(*by).agg(F.percentile("x", 0.05).alias("__x0"), F.percentile("y", 0.05).alias("__y0"))
+    now = meet(start.select(*by, "pitch_x", "pitch_y"), first).withColumns({"ox": F.col("__x0"), "oy": F.col("__y0"), "kept": F.lit(None).cast("long")})
+    rows = points.select(*by, "x", "y").withColumn("__keep", F.lit(True))
     for _ in range(rounds):
-        p = points.join(F.broadcast(now), list(group)) if group else points.crossJoin(F.broadcast(now))  # one row
-        aggs = []
+        p = meet(rows, now.select(*by, "pitch_x", "pitch_y", "__x0", "__y0"))
+        for c in "xy":
+            p = p.withColumn(f"__i{c}", residual_to_grid(F.col(c), F.col(f"pitch_{c}"), F.col(f"__{c}0"))[0].cast("double"))
+        kept = F.col("__keep")
+        aggs = [F.count_if(kept).alias("__n")]
+        for c in "xy":
+            i, v = F.when(kept, F.col(f"__i{c}")), F.when(kept, F.col(c))
+            fine = (F.min(i) < F.max(i)) & (F.count_if(kept) >= 3)
+            aggs += [F.when(fine, F.regr_slope(v, i)).alias(f"__s{c}"), F.when(fine, F.regr_intercept(v, i)).alias(f"__c{c}")]
+        fit = p.groupBy(*by).agg(*aggs)
+        p = meet(p, fit)
+        within = F.lit(True)
         for c in "xy":
-            i, r = residual_to_grid(F.col(c), F.col(f"pitch_{c}"), F.col(f"o{c}"))
-            keep = F.abs(r) <= F.col(f"pitch_{c}") * trim
-            p = p.withColumn(f"i{c}", F.when(keep, i.cast("double"))).withColumn(f"k{c}", F.when(keep, F.col(c)))
-            slope = F.when(F.min(f"i{c}") < F.max(f"i{c}"), F.regr_slope(f"k{c}", f"i{c}"))
-            aggs += [F.coalesce(slope, F.max(f"pitch_{c}")).alias(f"pitch_{c}"), F.coalesce(F.when(F.min(f"i{c}") < F.max(f"i{c}"), F.regr_intercept(f"k{c}", f"i{c}")), F.max(f"o{c}")).alias(f"o{c}")]
-        now = p.groupBy(*group).agg(*aggs)
-    return now
+            left = F.abs(F.col(c) - (F.col(f"__c{c}") + F.col(f"__s{c}") * F.col(f"__i{c}")))
+            within = within & F.coalesce(left <= F.abs(f"__s{c}") * trim, F.lit(True))
+        rows = p.select(*by, "x", "y", (kept & (within | (F.col("__n") < 3))).alias("__keep"))
+        now = meet(now.drop("kept"), fit)
+        now = now.select(
+            *by, "__x0", "__y0", *[F.coalesce(f"__s{c}", f"pitch_{c}").alias(f"pitch_{c}") for c in "xy"], *[F.coalesce(f"__c{c}", f"o{c}").alias(f"o{c}") for c in "xy"]
+        )
+        now = meet(now, rows.groupBy(*by).agg(F.count_if("__keep").alias("kept")))
+    return now.select(*by, "pitch_x", "pitch_y", "ox", "oy", "kept")
 
 
 def line_pitches(points: DataFrame, tol: float = 1.5, least: int = 3, group: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +109,7 @@ def line_residuals(points: DataFrame, threshold: float = 10, pitch: float | None
     lines = lines.withColumn("__d", F.col("x") - F.lag("x").over(w)).withColumn("__x0", F.min("x").over(Window.partitionBy(*group, "line")))
     if pitch is None:
         p = lines.groupBy(*group).agg(median(F.col("__d")).alias("__p"))
-        lines = lines.join(F.broadcast(p), list(group)) if group else lines.crossJoin(F.broadcast(p))  # one row per page, or one
+        lines = lines.join(p, list(group)) if group else lines.crossJoin(F.broadcast(p))  # one row
     else:
         lines = lines.withColumn("__p", F.lit(float(pitch)))
     lines = lines.withColumn("index", F.rint(F.try_divide(F.col("x") - F.col("__x0"), F.col("__p"))).cast("long"))
@@ -137,7 +156,7 @@ def lattice_profile(lattice: DataFrame, axis: str, group: Sequence[str] = (), ro
     nodes = ends.select(*group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long"))).alias("node"))
     p = nodes.join(prof, [*group, "node"], "left")
     mean = pairs.groupBy(*group).agg(F.avg("step").alias("__nominal"))
-    p = (p.join(F.broadcast(mean), list(group), "left") if group else p.crossJoin(F.broadcast(mean)))  # one row per page, or one
+    p = p.join(mean, list(group), "left") if group else p.crossJoin(F.broadcast(mean))  # one row
     if nominal is not None:
         p = p.withColumn("__nominal", F.lit(float(nominal)))
     p = p.withColumn("__ref", F.lit(reference)).withColumn("__off", F.col("pitch") - F.col("__nominal"))

@@ -1,12 +1,16 @@
-"""Spectra of series as sums over samples: exact for any spacing, and declarative."""
+"""Spectra of series: fast transforms of even samples, sums over samples at any frequencies for uneven ones."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridscope import ship
 from gridscope.functions import clean, finite, median
 from gridscope.operators.windows import interpolate
 
@@ -38,25 +42,29 @@ def detrend(series: DataFrame, y: str, x: str, mode: str, group: Sequence[str])
     return series.withColumn(y, F.col(y) - F.avg(y).over(w) - s * (F.col(x) - F.avg(x).over(w)))
 
 
-def hann(k: Column, n: Column) -> Column:
-    return F.when(n > 1, F.lit(0.5) - F.cos(k * TWO_PI / (n - 1)) * 0.5).otherwise(1.0)
-
-
 def dft_amplitudes(series: DataFrame, y: str, k: str, group: Sequence[str], dx: float = 1.0, window: str = "hann", keep_zero: bool = False) -> DataFrame:
-    """One-sided amplitudes 2 |F| / sum w of evenly spaced samples; period is null at frequency 0.
+    """(group, frequency, amplitude, period): one-sided amplitudes 2 |F| / sum w of evenly spaced samples; period is null at frequency 0.
 
-    Every sample meets n / 2 frequencies, a bounded fan-out for pages' rows; for long
-    series the FFT kernel does the same per group.
+    k counts the samples of a series from 0.  Each series is one task's fast transform, n log n
+    for n samples; missing values count as 0.  Series of one sample have no frequency.
     """
-    w = Window.partitionBy(*group)
-    s = series.withColumn("__n", F.count("*").over(w)).withColumn("__w", hann(F.col(k), F.col("__n")) if window == "hann" else F.lit(1.0))
-    f = F.explode(F.sequence(F.lit(0 if keep_zero else 1).cast("long"), F.floor(F.col("__n") / 2))).alias("f")
-    s = s.where("__n > 1").select(*group, y, k, "__n", "__w", f)
-    a = (F.col("f") * F.col(k)) % F.col("__n") * TWO_PI / F.col("__n")
-    got = s.groupBy(*group, "f", "__n").agg(F.sum(F.col("__w") * F.col(y) * F.cos(a)).alias("c"), F.sum(F.col("__w") * F.col(y) * F.sin(a)).alias("s"), F.sum("__w").alias("sw"))
-    freq = F.col("f") / (F.col("__n") * dx)
-    amp = F.try_divide(F.hypot("c", "s") * 2, F.col("sw"))
-    return got.select(*group, freq.alias("frequency"), amp.alias("amplitude"), F.try_divide(F.lit(1.0), freq).alias("period"))
+    ship(series.sparkSession)
+    src = series.select(*group, F.col(k).cast("long").alias("__k"), F.col(y).cast("double").alias("__y"))
+    kind = T.StructType([*src.select(*group).schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("frequency", "amplitude", "period")]])
+
+    def transform(part: pa.Table) -> pa.Table:
+        at, v = part["__k"].to_numpy(), np.nan_to_num(part["__y"].to_numpy().astype(float))
+        n = len(v)
+        w = 0.5 - 0.5 * np.cos(TWO_PI * at / (n - 1)) if window == "hann" and n > 1 else np.ones(n)
+        f = np.arange(0 if keep_zero else 1, n // 2 + 1 if n > 1 else 0)
+        amplitude = 2 * np.abs(np.fft.rfft(np.bincount(at % n, w * v, n)))[f] / w.sum() if len(f) and w.sum() else np.full(len(f), np.nan)
+        frequency = f / (n * dx)
+        with np.errstate(divide="ignore"):
+            period = 1 / frequency
+        columns = [pa.array([part[g][0].as_py()] * len(f), part.schema.field(g).type) for g in group]
+        return pa.Table.from_arrays([*columns, pa.array(frequency), pa.array(amplitude, mask=np.isnan(amplitude)), pa.array(period, mask=np.isinf(period))], names=kind.names)
+
+    return src.groupBy(*group).applyInArrow(transform, kind)
 
 
 def pitch_error_spectrum(samples: DataFrame, x: str, y: str, group: Sequence[str], dx: float | None = None, mode: str = "linear", window: str = "hann") -> DataFrame:

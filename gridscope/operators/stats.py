@@ -35,12 +35,11 @@ def bounding_box(points: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 def robust_pitch(coords: DataFrame, x: str, group: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Median of neighbouring differences within 3 MAD of their median (of all, if the MAD is under 1e-12)."""
-    w = Window.partitionBy(*group).orderBy(x, *order)
+    w, all_of = Window.partitionBy(*group).orderBy(x, *order), Window.partitionBy(*group)
     d = coords.withColumn("d", F.col(x) - F.lag(x).over(w)).where("d IS NOT NULL").select(*group, "d")
-    mid = d.groupBy(*group).agg(median(F.col("d")).alias("med"))
-    off = d.join(mid, list(group)).withColumn("off", F.abs(F.col("d") - F.col("med")))
-    mad = off.groupBy(*group).agg(median(F.col("off")).alias("mad"))
-    kept = off.join(mad, list(group)).where("mad < 1e-12 OR off <= 3 * mad")
+    # one shuffle: the differences, both medians and the result share the groups' partitioning
+    off = d.withColumn("off", F.abs(F.col("d") - median(F.col("d")).over(all_of)))
+    kept = off.withColumn("mad", median(F.col("off")).over(all_of)).where("mad < 1e-12 OR off <= 3 * mad")
     return kept.groupBy(*group).agg(median(F.col("d")).alias("pitch"), F.count("*").alias("kept"))
 
 
@@ -60,7 +59,7 @@ def residual_map(cloud: DataFrame, bin_width: float = 32, least: int = 1, group:
     """Median and count of residuals per (line, x bin); the last bin is closed; bins under the count are null."""
     ok = cloud.where(clean(F.col("residual")).isNotNull() & clean(F.col("x")).isNotNull())
     ends = ok.groupBy(*group).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
-    j = ok.join(F.broadcast(ends), list(group)) if group else ok.crossJoin(ends)  # one row per page, or one
+    j = ok.join(ends, list(group)) if group else ok.crossJoin(F.broadcast(ends))  # one row
     bins = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("__hi") - F.col("__lo")) / bin_width))
     j = j.withColumn("bin", F.least(F.floor((F.col("x") - F.col("__lo")) / bin_width), bins - 1))
     return j.groupBy(*group, "line", "bin").agg(F.count("*").alias("n"), F.when(F.count("*") >= least, median(F.col("residual"))).alias("value"))
@@ -321,17 +320,17 @@ def level_statistics(pixels: DataFrame, saturation: float, group: Sequence[str]
 
 
 def noise_line(pixels: DataFrame, level: str, residual: str, bins: int = 12, least: int = 200, group: Sequence[str] = ()) -> DataFrame:
-    """Noise variance against level: (1.4826 MAD)^2 per quantile bin and the straight line through them."""
+    """Noise variance against level: (1.4826 MAD)^2 per quantile bin and the straight line through them; the mean alone with fewer than three bins."""
     e = pixels.groupBy(*group).agg(F.percentile(level, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("__e"))
-    p = pixels.join(F.broadcast(e), list(group)) if group else pixels.crossJoin(e)  # one row per page, or one
+    p = pixels.join(e, list(group)) if group else pixels.crossJoin(F.broadcast(e))  # one row
     p = p.withColumn("bin", F.size(F.filter("__e", lambda x: x <= F.col(level))) - 1).where(F.col("bin") < bins)
     mid = p.groupBy(*group, "bin").agg(median(F.col(residual)).alias("__m"), F.count("*").alias("n")).where(F.col("n") > least)
     p = p.join(mid, [*group, "bin"])
     got = p.groupBy(*group, "bin").agg(F.avg(level).alias("x"), median(F.abs(F.col(residual) - F.col("__m"))).alias("__mad"))
     got = got.withColumn("y", F.col("__mad") * F.col("__mad") * (1.4826 * 1.4826))
     return got.groupBy(*group).agg(
-        F.greatest(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)), F.lit(0.0)).alias("slope"),
-        F.greatest(F.regr_intercept("y", "x"), F.avg("y") * 0.05).alias("intercept"), F.count("*").alias("bins"),
+        F.when(F.count("*") >= 3, F.greatest(F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("slope"),
+        F.when(F.count("*") >= 3, F.greatest(F.regr_intercept("y", "x"), F.avg("y") * 0.05)).otherwise(F.greatest(F.avg("y"), F.lit(1e-3))).alias("intercept"), F.count("*").alias("bins"),
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridscope import ship
 from gridscope.functions import clean, finite
 
 
@@ -36,26 +39,32 @@ def cluster_bounds(clustered: DataFrame, value: str, group: Sequence[str] = (),
 def running_mean_lines(df: DataFrame, value: str, tol: float, group: Sequence[str] = ()) -> DataFrame:
     """Lines of sorted values: a value joins while it is within tol of the line's running mean, else begins the next.
 
-    One row per (group, distinct value): line, count.  The fold is over a sorted array,
-    which holds a group's distinct values with their counts.
+    One row per (group, distinct value): n, line.  Each group's distinct values pass in
+    order through one task, which holds a batch of them and the running line, nothing else.
+    Of n equal values each sees the mean that those before it left: all join, or the
+    first begins a line.
     """
-    counted = df.where(finite(F.col(value))).groupBy(*group, value).agg(F.count("*").alias("n"))
-    rows = counted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("n")))).alias("rows"))
-    start = F.struct(
-        F.lit(-1).alias("line"), F.lit(0.0).alias("s"), F.lit(0.0).alias("c"),
-        F.expr("cast(array() as array<struct<v:double,n:bigint,line:int>>)").alias("got"),
-    )
-
-    def step(a: Column, r: Column) -> Column:
-        # of n equal values each sees the mean that those before it left; all join or the first begins a line
-        same = (a["c"] > 0) & (F.abs(r["v"] - F.try_divide(a["s"], a["c"])) <= tol)
-        line = F.when(same, a["line"]).otherwise(a["line"] + 1)
-        add = F.struct(r["v"].cast("double").alias("v"), r["n"].alias("n"), line.alias("line"))
-        total = F.when(same, a["s"]).otherwise(0.0) + r["v"] * r["n"]
-        return F.struct(line.alias("line"), total.alias("s"), (F.when(same, a["c"]).otherwise(0.0) + r["n"]).alias("c"), F.concat(a["got"], F.array(add)).alias("got"))
-
-    lines = rows.select(*group, F.explode(F.aggregate("rows", start, step)["got"]).alias("r"))
-    return lines.select(*group, F.col("r.v").alias(value), F.col("r.n").alias("n"), F.col("r.line").alias("line"))
+    ship(df.sparkSession)
+    counted = df.where(finite(F.col(value))).groupBy(*group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
+    rows = counted.select(*group, value, "n")
+    near = (rows.repartition(*group) if group else rows.repartition(1)).sortWithinPartitions(*group, value)
+    kind = T.StructType([*rows.schema.fields, T.StructField("line", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, line, total, count = object(), 0, 0.0, 0
+        for b in batches:
+            keys = list(zip(*[c.to_pylist() for c in b.columns[:-2]])) if group else [()] * b.num_rows
+            out = []
+            for k, v, n in zip(keys, b.columns[-2].to_pylist(), b.columns[-1].to_pylist()):
+                if k != key:
+                    key, line, total, count = k, 0, 0.0, 0
+                elif not abs(v - total / count) <= tol:
+                    line, total, count = line + 1, 0.0, 0
+                total, count = total + v * n, count + n
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=kind.names)
+
+    return near.mapInArrow(fold, kind)
 
 
 def adjacent_differences(df: DataFrame, value: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from gridscope.kernels import measure as m
 from gridscope.operators import pages as p
 from gridscope.operators import pitch, stats
 from gridscope.plans import tables as t
-from gridscope.plans.relational import QUERIES, query
+from gridscope.plans.ordered import _amplitudes
+from gridscope.plans.relational import QUERIES, query, r6
 from gridscope.sources.pages import explode_pixels, synthetic_pages
 
 
@@ -101,10 +102,12 @@ def _(s, d):
     return pitch.lattice_profile(lat, "x", ["page"])
 
 
-@query("q4_fft_series")
+@query("q4_fft_series", f"""WITH e AS (SELECT event_type, floor(epoch_us(ts) / 3.6e9) AS h, avg(value) AS v FROM events GROUP BY 1, 2), o AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY h) - 1 AS k FROM e),
+dt AS (SELECT event_type, regr_slope(v, k) AS s, avg(v) AS my, avg(k) AS mk, count(*) AS n FROM o GROUP BY 1), dw AS (SELECT event_type, k, n, v - my - s * (k - mk) AS y, 0.5 - 0.5 * cos(6.283185307179586 * k / (n - 1)) AS w FROM o JOIN dt USING (event_type)), {_amplitudes('event_type')}
+SELECT event_type AS series, round(f / n, 6) AS frequency, round(a, 6) AS amplitude, round(n / f, 6) AS period FROM am""")
 def _(s, d):
     e = t.read(s, d, "events").groupBy("event_type", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("h")).agg(F.avg("value").alias("v"))
-    return p.fft_spectrum(e, "event_type", "h", "v")
+    return r6(p.fft_spectrum(e, "event_type", "h", "v"), "frequency", "amplitude", "period")
 
 
 @query("q7_q10_register")

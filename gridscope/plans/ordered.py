@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridscope import functions as fn
 from gridscope.operators import joins, orders, pitch, spectra, stats, windows
 from gridscope.plans import tables as t
-from gridscope.plans.relational import _CLOUD, _D2, OFF, _LINES, _PAIRX, _RMAP, LAT, MEAS, PTS, PX, QUERIES, SEEDS, SQL, TM, _cells, _cloud, off_ties, query, r6  # noqa: F401
+from gridscope.plans.relational import _CLOUD, _D2, _DIFFS, OFF, _LINES, _PAIRX, _RMAP, LAT, MEAS, PTS, PX, QUERIES, SEEDS, SQL, TM, _cells, _cloud, off_ties, query, r6  # noqa: F401
 
 # -- windows ----------------------------------------------------------------------------------------
 
@@ -317,19 +317,35 @@ def _(s, d):
 # -- pitch and lattice ------------------------------------------------------------------------------
 
 
-@query("p2_index_pitch")
+@query("p2_index_pitch", f"""WITH {PTS}, o AS (SELECT g, quantile_cont(x, 0.05) AS x0, quantile_cont(y, 0.05) AS y0 FROM pts GROUP BY g),
+a1 AS (SELECT g, x, y, x0, y0, round_even((x - x0) / 1.02, 0) AS i, round_even(y - y0, 0) AS j FROM pts JOIN o USING (g)),
+f1 AS (SELECT g, regr_slope(x, i) AS sx, regr_intercept(x, i) AS cx, regr_slope(y, j) AS sy, regr_intercept(y, j) AS cy FROM a1 GROUP BY g),
+a2 AS (SELECT g, x, y, round_even((x - x0) / sx, 0) AS i, round_even((y - y0) / sy, 0) AS j FROM a1 JOIN f1 USING (g) WHERE abs(x - (cx + sx * i)) <= abs(sx) * 0.35 AND abs(y - (cy + sy * j)) <= abs(sy) * 0.35),
+f2 AS (SELECT g, regr_slope(x, i) AS sx, regr_intercept(x, i) AS cx, regr_slope(y, j) AS sy, regr_intercept(y, j) AS cy FROM a2 GROUP BY g)
+SELECT g, round(any_value(sx), 6) AS pitch_x, round(any_value(sy), 6) AS pitch_y, round(any_value(cx), 6) AS ox, round(any_value(cy), 6) AS oy, count(*) FILTER (abs(x - (cx + sx * i)) <= abs(sx) * 0.35 AND abs(y - (cy + sy * j)) <= abs(sy) * 0.35) AS kept FROM a2 JOIN f2 USING (g) GROUP BY g""")
 def _(s, d):
     p = t.points(s, d)
     start = p.select("g").distinct().withColumn("pitch_x", F.lit(1.02)).withColumn("pitch_y", F.lit(1.0))
     return r6(pitch.index_pitch(p, start, group=["g"]), "pitch_x", "pitch_y", "ox", "oy")
 
 
-@query("p3_line_pitches")
+@query("p3_line_pitches", f"""WITH RECURSIVE {PTS}, v AS (SELECT y, count(*) AS n, row_number() OVER (ORDER BY y) AS k FROM pts GROUP BY 1),
+r(k, y, n, line, s, c) AS (SELECT k, y, n, 0, y * n, n::DOUBLE FROM v WHERE k = 1
+UNION ALL SELECT v.k, v.y, v.n, CASE WHEN abs(v.y - r.s / r.c) <= 0.4 THEN r.line ELSE r.line + 1 END, CASE WHEN abs(v.y - r.s / r.c) <= 0.4 THEN r.s + v.y * v.n ELSE v.y * v.n END, CASE WHEN abs(v.y - r.s / r.c) <= 0.4 THEN r.c + v.n ELSE v.n END FROM r JOIN v ON v.k = r.k + 1),
+lp AS (SELECT pts.*, line FROM pts JOIN r USING (y)), {_DIFFS}
+SELECT line, n, round(center, 6) AS center, CASE WHEN n >= 3 THEN round(pitch, 6) END AS pitch, kept FROM (SELECT line, count(*) AS n, avg(y) AS center FROM lp GROUP BY 1) LEFT JOIN kp USING (line)""")
 def _(s, d):
     return r6(pitch.line_pitches(t.points(s, d), 0.4), "center", "pitch")
 
 
-@query("p4_histogram_pitches")
+@query("p4_histogram_pitches", f"""WITH {PTS}, b AS (SELECT g, floor(y / 0.75)::BIGINT AS bin, count(*) AS n, avg(y) AS mean FROM pts GROUP BY 1, 2),
+pk AS (SELECT a.g, a.bin, a.n, a.mean FROM b a LEFT JOIN b l ON l.g = a.g AND l.bin = a.bin - 1 LEFT JOIN b r ON r.g = a.g AND r.bin = a.bin + 1 WHERE a.n >= 5 AND a.n > coalesce(l.n, 0) AND a.n >= coalesce(r.n, 0)),
+nw AS (SELECT *, CASE WHEN mean - lag(mean) OVER (PARTITION BY g ORDER BY mean) > 0.75 THEN 1 ELSE 0 END AS new FROM pk),
+ln AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY mean)::BIGINT AS line FROM nw),
+hl AS (SELECT g, line, sum(mean * n) / sum(n) AS center FROM ln GROUP BY 1, 2),
+own AS (SELECT g, id, x, line FROM (SELECT pts.g, id, x, line, row_number() OVER (PARTITION BY pts.g, id ORDER BY abs(y - center), line) AS k FROM pts JOIN hl ON pts.g = hl.g AND abs(y - center) <= 0.75) WHERE k = 1),
+df AS (SELECT g, line, x - lag(x) OVER (PARTITION BY g, line ORDER BY x, id) AS d FROM own)
+SELECT g, line, round(median(d), 6) AS pitch, count(*) AS n, round(stddev_pop(d) / avg(d), 6) AS cv FROM df WHERE d > 0 GROUP BY 1, 2 HAVING stddev_pop(d) / avg(d) <= 5""")
 def _(s, d):
     p = t.points(s, d)
     return r6(pitch.histogram_pitches(p, stats.histogram_lines(p, "y", 0.75, 5, ["g"]).drop("n"), 0.75, 5.0, ["g"]), "pitch", "cv")
@@ -347,7 +363,9 @@ def _(s, d):
     return r6(pitch.line_residuals(t.points(s, d).select("id", "x", "y"), 0.5, 0.5), "residual").select("id", "line", "index", "residual")
 
 
-@query("p7_distortion_field")
+@query("p7_distortion_field", f"""WITH {PTS}, {_CLOUD}, {_RMAP}, k3 AS (SELECT i, exp(-i * i / 18.0::DOUBLE) AS k FROM (SELECT unnest(range(-9, 10)) AS i)), k1 AS (SELECT i, exp(-i * i / 4.5::DOUBLE) AS k FROM (SELECT unnest(range(-4, 5)) AS i)),
+m1 AS (SELECT a.line, a.bin, sum(k * m.n * m.value) / sum(k * m.n) AS value FROM rm a JOIN k3 ON true JOIN rm m ON m.line = a.line AND m.bin = a.bin - k3.i GROUP BY 1, 2)
+SELECT a.line, a.bin, round(sum(k * m.value) / sum(k), 6) AS value FROM m1 a JOIN k1 ON true JOIN m1 m ON m.bin = a.bin AND m.line = a.line - k1.i GROUP BY 1, 2""")
 def _(s, d):
     return r6(pitch.distortion_field(_cloud(s, d), 8), "value")
 
@@ -387,7 +405,20 @@ def _series(s, d):
     return e.select("vec_id", F.col("k").cast("long").alias("k"), F.col("y").cast("double").alias("y"))
 
 
-@query("q1_resample_uniform")
+def _grid(g, dx):
+    """SQL of u: e (g, x, value) on even places, between the samples before and after each."""
+    return f"""gp AS (SELECT {g}, x, x - lag(x) OVER (PARTITION BY {g} ORDER BY x) AS gap FROM e), st AS (SELECT {g}, min(x) AS x0, max(x) AS x1, {dx} AS dx FROM gp GROUP BY 1),
+gr AS (SELECT {g}, k, x0 + k * dx AS x FROM (SELECT *, unnest(range(0, floor((x1 - x0) / dx + 1e-9)::BIGINT + 1)) AS k FROM st WHERE dx > 0)),
+lo AS (SELECT gr.{g}, gr.k, gr.x, e.x AS xa, e.value AS ya FROM gr ASOF LEFT JOIN e ON gr.{g} = e.{g} AND gr.x >= e.x),
+u AS (SELECT lo.{g}, lo.k, lo.x, coalesce(ya, e.value) + (coalesce(e.value, ya) - coalesce(ya, e.value)) * coalesce((lo.x - coalesce(xa, e.x)) / nullif(coalesce(e.x, xa) - coalesce(xa, e.x), 0), 0) AS y FROM lo ASOF LEFT JOIN e ON lo.{g} = e.{g} AND lo.x <= e.x)"""
+
+
+def _amplitudes(g):
+    """SQL of am: amplitudes of dw (g, k, n, y, w) at whole frequencies."""
+    return f"""am AS (SELECT {g}, f, any_value(n) AS n, 2 * sqrt(pow(sum(w * y * cos(((f * k) % n) * 6.283185307179586 / n)), 2) + pow(sum(w * y * sin(((f * k) % n) * 6.283185307179586 / n)), 2)) / sum(w) AS a FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS f FROM dw) GROUP BY 1, 2)"""
+
+
+@query("q1_resample_uniform", f"""WITH e AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS x, value FROM events), {_grid('user_id', 'median(gap) FILTER (gap > 0)')} SELECT user_id, k, round(x, 6) AS x, round(y, 6) AS y FROM u""")
 def _(s, d):
     e = t.read(s, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("x"), "value")
     return r6(spectra.resample_uniform(e, "x", "value", ["user_id"]), "x", "y")
@@ -417,7 +448,9 @@ def _(s, d):
     return r6(spectra.dft_amplitudes(_series(s, d), "y", "k", ["vec_id"], window="none", keep_zero=True), "frequency", "amplitude").select("vec_id", "frequency", "amplitude")
 
 
-@query("q5_resampled_spectrum")
+@query("q5_resampled_spectrum", f"""WITH e AS (SELECT event_type, floor(epoch_us(ts) / 3.6e9) AS x, avg(value) AS value FROM events GROUP BY 1, 2), {_grid('event_type', '1.0')},
+dt AS (SELECT event_type, regr_slope(y, x) AS s, avg(y) AS my, avg(x) AS mx, count(*) AS n FROM u GROUP BY 1), dw AS (SELECT event_type, k, n, y - my - s * (x - mx) AS y, 0.5 - 0.5 * cos(6.283185307179586 * k / (n - 1)) AS w FROM u JOIN dt USING (event_type)), {_amplitudes('event_type')}
+SELECT event_type, round(f / n, 6) AS frequency, round(a, 6) AS amplitude, round(n / f, 6) AS period FROM am""")
 def _(s, d):
     e = t.read(s, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("x"), "value")
     hourly = e.groupBy("event_type", F.floor("x").cast("double").alias("x")).agg(F.avg("value").alias("value"))

@@ -154,7 +154,7 @@ def _(s, d):
     return filters.failed_cells(t.measurements(s, d)).select("page", "cell_id", "failed_methods")
 
 
-@query("c8_failed_in_method", f"WITH {MEAS} SELECT cell_id, status FROM meas WHERE method = 'b' AND NOT valid AND (page, cell_id) IN (SELECT (page, cell_id) FROM meas WHERE method = 'a' AND valid)")
+@query("c8_failed_in_method", f"WITH {MEAS} SELECT b.cell_id, b.status FROM (SELECT * FROM meas WHERE method = 'b' AND NOT valid) b SEMI JOIN (SELECT page, cell_id FROM meas WHERE method = 'a' AND valid) a ON b.page = a.page AND b.cell_id = a.cell_id")
 def _(s, d):
     m = t.measurements(s, d)
     return filters.failed_in(m, "b", m.where("method = 'a' AND valid").select("page", "cell_id")).select("cell_id", "status")
@@ -315,7 +315,10 @@ def _(s, d):
     return spatial.boundary_pixels(t.pixels(s, d).withColumn("v", F.col("v") >= 110)).select("page", "x", "y")
 
 
-@query("d16_hole_at")
+@query("d16_hole_at", f"""WITH {PX}, {_PAGE0}, {SEEDS}, p AS (SELECT id, x * 0.6 AS x, y * 0.5 AS y, floor(x * 0.6 + 0.5) AS i, floor(y * 0.5 + 0.5) AS j FROM seeds),
+c AS (SELECT x, y, id AS seed_id FROM (SELECT a.x, a.y, b.id, row_number() OVER (PARTITION BY a.x, a.y ORDER BY {_D2}, b.id) AS k FROM p0 a JOIN s0 b USING (page) WHERE a.page = 0) WHERE k = 1),
+n AS (SELECT id, hole FROM (SELECT a.id, b.id AS hole, {_D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.id) AS k FROM p a JOIN s0 b ON b.page = 0) WHERE k = 1 AND d2 <= 36)
+SELECT 0 AS page, p.id, coalesce(c.seed_id, n.hole, -1) AS hole FROM p LEFT JOIN c ON c.x = p.i AND c.y = p.j LEFT JOIN n ON n.id = p.id""")
 def _(s, d):
     cells = _cells(s, d)
     p = t.seeds(s, d).select(F.lit(0).alias("page"), "id", (F.col("x") * 0.6).alias("x"), (F.col("y") * 0.5).alias("y"))
