@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import signal
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,10 +31,31 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.nd
             yield file, page, np.array(b.column("pixels")[i].values.to_numpy(zero_copy_only=False)).reshape(height, width)
 
 
-def map_pages(pages: DataFrame, f: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
+@contextlib.contextmanager
+def _limited(seconds: float | None) -> Iterator[None]:
+    """Ends what runs inside with a TimeoutError after the given seconds, where signals reach this thread."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeoutError(f"not done after {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def map_pages(pages: DataFrame, f: Callable[[np.ndarray], list[dict]], schema: str, timeout: float | None = None, stop_after: int | None = None) -> DataFrame:
     """Rows (file, page, ..., error) that a function makes of each page's image; schema names the function's columns.
 
-    A page that can't be read or measured is one row with the error and nulls; the others go on.
+    A page that can't be read, or measured within ``timeout`` seconds, is one row with the
+    error and nulls; the others go on.  After ``stop_after`` failures in a row within one task
+    the job ends with the last one: something is wrong with more than a page.
     """
     ship(pages.sparkSession)
     full = "file string, page int, " + schema + ", error string"
@@ -41,10 +65,15 @@ def map_pages(pages: DataFrame, f: Callable[[np.ndarray], list[dict]], schema: s
     kind = to_arrow_schema(_parse_datatype_string(full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = 0
         for file, page, image in _images(batches):
             try:
-                rows = [{"file": file, "page": page, **r} for r in f(image)]
+                with _limited(timeout):
+                    rows, failed = [{"file": file, "page": page, **r} for r in f(image)], 0
             except Exception as e:  # noqa: BLE001  a bad page is a row, not the end of the run
+                failed += 1
+                if stop_after and failed >= stop_after:
+                    raise RuntimeError(f"{failed} pages in a row failed, the last ({file}, {page})") from e
                 rows = [{"file": file, "page": page, "error": f"{type(e).__name__}: {e}"}]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
@@ -98,17 +127,23 @@ def component_labels(pages: DataFrame, threshold: str | float = "otsu", **option
     return map_pages(pages, f, "label int, bx int, by int, w int, h int, area long, cx double, cy double")
 
 
-def measure_pages(pages: DataFrame, methods: tuple[str, ...], **options) -> DataFrame:
-    """One row per cell and method; a page whose measurement fails has one row with the error as its status."""
+def measure_pages(
+    pages: DataFrame, methods: tuple[str, ...], check: Callable[[np.ndarray], str | None] | None = None, timeout: float | None = None, stop_after: int | None = None, **options
+) -> DataFrame:
+    """One row per cell and method; a page whose measurement fails has one row with its error.
+
+    ``check`` sees each page before it is measured: a reason that it returns is the page's
+    only row, with the status "rejected: reason".
+    """
     schema = MEASURED.removeprefix("file string, page int, ")
 
     def f(image: np.ndarray) -> list[dict]:
         from gridscope.kernels.measure import measure
 
-        try:
-            rows, page = measure(image, methods, **options)
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return [{"cell_id": None, "method": None, "valid": False, "status": f"failed: {e}"}]
+        reason = check(image) if check else None
+        if reason:
+            return [{"cell_id": None, "method": None, "valid": False, "status": f"rejected: {reason}"}]
+        rows, page = measure(image, methods, **options)
         if not rows:
             return [{"cell_id": None, "method": None, "valid": False, "status": "no_holes", "holes": page["holes"]}]
         none = lambda v: v if np.isfinite(v) else None
@@ -121,7 +156,7 @@ def measure_pages(pages: DataFrame, methods: tuple[str, ...], **options) -> Data
             for r in rows
         ]
 
-    return map_pages(pages, f, schema)
+    return map_pages(pages, f, schema, timeout, stop_after)
 
 
 def filter_pages(pages: DataFrame, kind: str, **options) -> DataFrame:

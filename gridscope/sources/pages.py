@@ -95,8 +95,8 @@ def grayscale(image: np.ndarray) -> np.ndarray:
 def read_pages(spark: SparkSession, path: str | list[str], pages: tuple[int, int | None] | None = None, glob: str = "*.{npy,tif,tiff}", done: DataFrame | None = None) -> DataFrame:
     """(file, page, height, width, pixels, error) of all matching files under the paths, found once each.
 
-    ``pages`` is a half-open range, whose other pages' pixels aren't converted; files all
-    of whose wanted pages are in ``done`` (file, page) are left out before they are read.
+    ``pages`` is a half-open range, whose other pages' pixels aren't converted; pages in
+    ``done`` (file, page) are left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     files = files.select(F.col("path").alias("file"), "content").dropDuplicates(["file"])

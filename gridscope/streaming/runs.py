@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import json
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,7 @@ def input_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 def check_settings(spark: SparkSession, output: str, settings: dict) -> None:
     """Remember the settings beside the output, or refuse to go on with others."""
     mark, path = fingerprint(settings), f"{output}/settings"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if _exists(spark, path):
         known = spark.read.json(path).first()["fingerprint"]
         if known != mark:
             raise ValueError("this output belongs to a run with other settings")
@@ -47,30 +48,77 @@ def load_function(spec: str) -> Callable:
 
 
 def page_rows(measured: DataFrame) -> DataFrame:
-    """One row per page: status, holes, and the mean and count of valid sizes per method in maps."""
+    """One row per page that was read: status, holes, and the mean and count of valid sizes per method in maps."""
     v = F.when(F.col("valid"), F.col("metrics")["cd_equivalent_px"])
-    per = measured.groupBy("file", "page", "method").agg(F.count(v).alias("n"), F.avg(v).alias("cd"), F.max("holes").alias("holes"), F.max("status").alias("status"))
+    measured = measured if "error" in measured.columns else measured.withColumn("error", F.lit(None).cast("string"))
+    per = measured.groupBy("file", "page", "method").agg(F.count(v).alias("n"), F.avg(v).alias("cd"), F.max("holes").alias("holes"), F.max("status").alias("status"), F.max("error").alias("error"))
+    status = F.max("status")
     return per.groupBy("file", "page").agg(
         F.max("holes").alias("holes"),
-        F.when(F.count("method") > 0, "ok").otherwise(F.when(F.max("status") == "no_holes", "no_holes").otherwise("failed")).alias("status"),
+        F.when(F.count("error") > 0, "failed").when(F.count("method") > 0, "ok").otherwise(F.when((status == "no_holes") | status.startswith("rejected"), status).otherwise("failed")).alias("status"),
         F.map_from_entries(F.collect_list(F.when(F.col("method").isNotNull(), F.struct("method", "n")))).alias("valid"),
         F.map_from_entries(F.collect_list(F.when(F.col("method").isNotNull() & F.col("cd").isNotNull(), F.struct("method", "cd")))).alias("cd"),
     )
 
 
-def run_batch(spark: SparkSession, inputs: str, output: str, methods: tuple[str, ...], pages: tuple[int, int | None] | None = None, **options) -> DataFrame:
+def code_fingerprint() -> str:
+    """Digest of the kernels' sources: other code may measure otherwise."""
+    import gridscope.kernels as kernels
+
+    folder = os.path.dirname(kernels.__file__)
+    digest = hashlib.sha256()
+    for name in sorted(n for n in os.listdir(folder) if n.endswith(".py")):
+        with open(os.path.join(folder, name), "rb") as f:
+            digest.update(name.encode() + f.read())
+    return digest.hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def run_batch(
+    spark: SparkSession, inputs: str, output: str, methods: tuple[str, ...], pages: tuple[int, int | None] | None = None, check: str | Callable | None = None,
+    timeout: float | None = None, stop_after: int | None = 20, **options,
+) -> DataFrame:
     """Measure what the output doesn't have yet and append it; returns all page rows, in order.
 
-    Unreadable pages go to failures and are tried again by the next run.
+    The files' listing is held against the table of finished files before anything is
+    read: a finished file isn't opened again, and one that has changed since is an error.
+    Every page is decoded and measured once; its rows are written, and page rows and failures
+    are made of them.  Pages that failed are in failures and tried again by the next
+    run, the others of their file aren't.  ``check``: a function, or FILE.py:NAME of one, that
+    rejects pages before they are measured.  Kernels of other code, or other settings, are refused.
     """
-    check_settings(spark, output, {"methods": methods, **options})
-    done = None
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{output}/pages")
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        done = spark.read.parquet(f"{output}/pages")
-    todo = read_pages(spark, inputs, pages, done=done)
-    page_rows(measure_pages(todo, methods, with_contours=False, **options)).write.mode("append").parquet(f"{output}/pages")
-    todo.where("error IS NOT NULL").select("file", "page", "error", F.current_timestamp().alias("time")).write.mode("append").parquet(f"{output}/failures")
+    check_settings(spark, output, {"methods": methods, "pages": pages, "check": str(check), "code": code_fingerprint(), **options})
+    glob = "*.{npy,tif,tiff}"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(inputs).select(F.col("path").alias("file"), "length", "modificationTime")
+    if _exists(spark, f"{output}/files"):
+        known = spark.read.parquet(f"{output}/files").withColumnsRenamed({"length": "old_length", "modificationTime": "old_time"})
+        both = listed.join(known, "file", "left")
+        changed = both.where("old_length <> length OR old_time <> modificationTime").first()
+        if changed:
+            raise ValueError(f"{changed['file']} is finished and has changed since")
+        listed = both.where("old_length IS NULL").select("file", "length", "modificationTime")
+    paths = [r["file"] for r in listed.select("file").collect()]  # the listing, which the driver made
+    if paths:
+        done = spark.read.parquet(f"{output}/pages").where("status <> 'failed'").select("file", "page") if _exists(spark, f"{output}/pages") else None
+        todo = read_pages(spark, paths, pages, done=done)
+        staged = f"{output}/_measured-{uuid.uuid4().hex}"
+        check = load_function(check) if isinstance(check, str) else check
+        measure_pages(todo, methods, check, timeout, stop_after, with_contours=False, **options).drop("contour").write.parquet(staged)
+        measured = spark.read.parquet(staged)
+        page_rows(measured.where("error IS NULL")).write.mode("append").parquet(f"{output}/pages")
+        failed = measured.where("error IS NOT NULL").select("file", "page", "error")
+        failed.withColumn("time", F.current_timestamp()).write.mode("append").parquet(f"{output}/failures")
+        listed.join(failed.select("file").distinct(), "file", "left_anti").write.mode("append").parquet(f"{output}/files")
+        _delete(spark, staged)
     return spark.read.parquet(f"{output}/pages").orderBy("file", "page")
 
 

@@ -51,6 +51,52 @@ def test_batch_resumes_and_refuses_other_settings(spark, folder):
     assert runs.input_manifest(spark, str(folder / "in")).count() == 3
 
 
+def test_finished_files_are_not_opened_again(spark, folder):
+    import os
+
+    out, bad = str(folder / "out"), folder / "in" / "bad.tif"
+    options = dict(background="border", threshold="otsu")
+    first = runs.run_batch(spark, str(folder / "in"), out, ("halfmax",), **options).collect()
+    assert len(first) == 6 and spark.read.parquet(out + "/files").count() == 2 and spark.read.parquet(out + "/failures").count() == 1
+    npy = folder / "in" / "a.npy"
+    seen, content = os.stat(npy), npy.read_bytes()
+    npy.write_bytes(b"\0" * len(content))  # would fail if it were read
+    os.utime(npy, ns=(seen.st_atime_ns, seen.st_mtime_ns))
+    assert [r.asDict() for r in runs.run_batch(spark, str(folder / "in"), out, ("halfmax",), **options).collect()] == [r.asDict() for r in first]
+    assert spark.read.parquet(out + "/failures").count() == 2  # the bad file was tried again, the finished ones weren't
+    bad.write_bytes(pages.write_tiff([np.full((30, 30), 7, np.uint16)]))
+    assert len(runs.run_batch(spark, str(folder / "in"), out, ("halfmax",), **options).collect()) == 7
+    npy.write_bytes(content + b"0")
+    with pytest.raises(ValueError, match="has changed"):
+        runs.run_batch(spark, str(folder / "in"), out, ("halfmax",), **options)
+
+
+def test_checks_limits_and_failures_in_a_row(spark, folder, tmp_path):
+    (tmp_path / "check.py").write_text("def dark(image):\n    return 'dark' if image.mean() < 1000 else None\n")
+    got = runs.run_batch(spark, str(folder / "in" / "deep"), str(folder / "o1"), ("halfmax",), check=f"{tmp_path}/check.py:dark", background="border", threshold="otsu").collect()
+    assert {r.status for r in got} == {"ok"}
+    got = runs.run_batch(spark, str(folder / "in" / "a.npy"), str(folder / "o2"), ("halfmax",), check=f"{tmp_path}/check.py:dark", background="border", threshold="otsu").collect()
+    assert {r.status for r in got} == {"rejected: dark"} and len(got) == 3
+
+    def slow(image):
+        import time
+
+        time.sleep(5 if image[0, 0] < 0 else 0)
+
+    p = pages.read_pages(spark, str(folder / "in"), glob="*.npy")
+    q = p.withColumn("pixels", F.when(F.col("page") == 1, F.transform("pixels", lambda v: -v)).otherwise(F.col("pixels")))
+    rows = ops.measure_pages(q, ("halfmax",), check=slow, timeout=1.0, background="border", threshold="otsu").collect()
+    assert {r.page for r in rows if r.error} == {1} and all("TimeoutError" in r.error for r in rows if r.error) and len({r.page for r in rows}) == 3
+
+    def broken(image):
+        raise KeyError("broken")
+
+    rows = ops.measure_pages(p, ("halfmax",), check=broken).collect()
+    assert len(rows) == 3 and all("KeyError" in r.error for r in rows)
+    with pytest.raises(Exception, match="2 pages in a row failed"):
+        ops.measure_pages(p, ("halfmax",), check=broken, stop_after=2).collect()
+
+
 def test_stream_gives_the_same_rows(spark, folder):
     out = str(folder / "stream")
     q = runs.run_stream(spark, str(folder / "in"), out, ("halfmax",), glob="*.npy", background="border", threshold="otsu")
