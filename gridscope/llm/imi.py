@@ -163,8 +163,8 @@ def search(
         return empty
     width, total, n_asked = int(sizes["n"]), int(sizes["count"]), int(sizes["asked"])
     rows = rows.where(F.size("v") == width)
-    sample = bounded_sample(rows.select("id", "v"), ["id"], sample_rows).toPandas()
-    points = np.array(sample["v"].tolist(), np.float64)
+    sample = bounded_sample(rows.select("id", "v"), ["id"], sample_rows).select("v").toArrow()
+    points = _matrix(sample["v"].combine_chunks(), width)
     cut = max(1, width // 2)
     centroids = centroids or int(np.clip(round((total / CELL_ENTRIES) ** 0.5), 4, MAX_CENTROIDS))
     books = [train(points[:, :cut], centroids), train(points[:, cut:], centroids)]

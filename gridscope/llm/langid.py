@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,10 +120,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = at if len(at) else np.zeros(1, np.int64)  # a language without a letter is one too
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
-    got = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(set(got["lang"]))
+    got = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(got["lang"].unique().to_pylist())
     counts = np.zeros((BUCKETS, max(1, len(names))))
-    counts[got["bucket"].to_numpy(np.int64), np.searchsorted(names, got["lang"].tolist()) if names else []] = got["n"].to_numpy(np.float64)
+    for k, name in enumerate(names):
+        mine = got.filter(pc.equal(got["lang"], name))
+        counts[mine["bucket"].to_numpy(), k] = mine["n"].to_numpy()
     return _model(names, counts)
 
 

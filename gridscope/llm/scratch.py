@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,11 +44,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def tidied(batches: Iterator) -> Iterator:
-    """The batches of a Python worker, which gives freed memory back to the system at the end: it lives on for other stages."""
+def tidy() -> None:
+    """Give freed memory back to the system."""
     import pyarrow as pa
 
-    yield from batches
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -55,6 +56,12 @@ def tidied(batches: Iterator) -> Iterator:
         pass
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches of a Python worker, which is tidied up at the end: it lives on for other stages."""
+    yield from batches
+    tidy()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridscope/{name}-{uuid.uuid4().hex}"
 

@@ -178,7 +178,7 @@ class Bags:
         out = Bags.__new__(Bags)
         out.words = self.words
         out._set(self.words_of[np.repeat(sentence, self.length)], self.length[sentence], self.sentences[some])
-        out.used = np.unique(out.words_of)
+        out.used = np.flatnonzero(np.bincount(out.words_of, minlength=len(self.words)))
         return out
 
     def values(self, values) -> np.ndarray:
@@ -235,10 +235,10 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "memory"}
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        return _evidence(Bags(texts), self.remembered, self.bias)
+        return _evidence(Bags(texts), self.values, self.bias)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.evidence(texts) @ self.slope + self.odds)))
+        return 1 / (1 + np.exp(-(_evidence(Bags(texts), self.remembered, self.bias) @ self.slope + self.odds)))
 
 
 def _evidence(bags: Bags, values, bias: float) -> np.ndarray:
@@ -249,15 +249,22 @@ def _evidence(bags: Bags, values, bias: float) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss by Newton steps on its active rows; y is -1 or 1."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x1.shape[1])
-    ridge = np.eye(x1.shape[1])
+    """Linear SVM with squared hinge loss by Newton steps on its active rows, a block of rows at a time; y is -1 or 1."""
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    ridge = np.eye(n)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x1 @ w) < 1
-        a = x1[active] * (cost * weight[active])[:, None]
-        new = np.linalg.solve(ridge + a.T @ x1[active], a.T @ y[active])
+        left, right = ridge.copy(), np.zeros(n)
+        for at in range(0, len(x), 2_000):
+            rows = np.column_stack([x[at : at + 2_000], np.ones(len(x[at : at + 2_000]))]).astype(np.float64)
+            t = y[at : at + 2_000]
+            active = t * (rows @ w) < 1
+            rows, t = rows[active], t[active]
+            a = rows * (cost * weight[at : at + 2_000][active])[:, None]
+            left += a.T @ rows
+            right += a.T @ t
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -292,14 +299,15 @@ def train(texts: list[str | None], labels: list[int], n_landmarks: int = LANDMAR
     fold = np.arange(len(y)) % 2
     if min(len(set(y[fold == k].tolist())) for k in (0, 1)) < 2:
         fold[:] = 2  # too few labels to hold half of them out
-    bags, more = Bags(texts), Bags([distorted(texts[i], int(i)) for i in again])
+    bags = Bags(texts)
     seen = np.zeros((len(target), TOPS + 1))
     for k in sorted(set(fold.tolist())):
         learn, held = np.flatnonzero((fold != k) | (k == 2)), np.flatnonzero(fold == k)
         half = Model(*_machine(bags.part(learn), y[learn], n_landmarks), np.zeros(TOPS + 1), 0.0)
         seen[held] = _evidence(bags.part(held), half.values, half.bias)
         copies = np.flatnonzero(fold[again] == k)
-        seen[len(y) + copies] = _evidence(more.part(copies), half.values, half.bias)
+        for some in np.array_split(copies, -(-len(copies) // 200)):  # their words are many and met once
+            seen[len(y) + some] = half.evidence([distorted(texts[i], int(i)) for i in again[some]])
     slope, odds = _logistic(seen, target.astype(float))
     weights, bias = _machine(bags, y, n_landmarks)
     return Model(weights, bias, slope, odds)
@@ -320,7 +328,9 @@ def distorted(text: str | None, seed: int) -> str:
 
 def _lifts(bags: Bags, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per word: log odds of a toxic text given the word, less one and a half standard errors; and its number of texts."""
-    pairs = np.unique(np.repeat(bags.text, bags.length) * np.int64(len(bags.words)) + bags.words_of)
+    pairs = np.repeat(bags.text, bags.length) * np.int64(len(bags.words)) + bags.words_of
+    pairs.sort()  # in place: sets of millions of numbers take several times their size
+    pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
     text, word = pairs // max(1, len(bags.words)), pairs % max(1, len(bags.words))
     bad, good = (np.bincount(word[y[text] == k], minlength=len(bags.words)) for k in (1, 0))
     a, b = bad + 0.25, good + 0.25
@@ -389,7 +399,7 @@ def _nystrom(words: list[str], landmarks: list[str], root: np.ndarray, known: di
     new = [w for w in words if w not in known]
     for a in range(0, len(new), 5_000):  # bounds the kernel's rows
         known.update(zip(new[a : a + 5_000], (kernel(new[a : a + 5_000], landmarks).astype(np.float64) @ root).astype(np.float32)))
-    return np.array([known[w] for w in words], np.float64)
+    return np.array([known[w] for w in words], np.float32)
 
 
 def held_out(id_col: Column) -> Column:
@@ -415,10 +425,12 @@ def fit(
     got = scratch.save(got, "labelled")
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     fits = F.sum(size).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)) <= max_bytes
-    got = got.withColumn("fits", fits).where("fits").orderBy(F.xxhash64("id"), "id").select("text", "y").toPandas()
-    model = train(got["text"].tolist(), got["y"].tolist())
+    got = got.withColumn("fits", fits).where("fits").orderBy(F.xxhash64("id"), "id").select("text", "y").toArrow()
+    labels_read = got["y"].to_pylist()
+    model = train(got["text"].to_pylist(), labels_read)
+    scratch.tidy()
     true = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
-    used = got["y"].value_counts().to_dict()
+    used = {y: labels_read.count(y) for y in (0, 1)}
     if all(d.get(y) for d in (true, used) for y in (0, 1)):
         model.odds += float(np.log(true[1] / true[0]) - np.log(used[1] / used[0]))
     return model
