@@ -234,7 +234,8 @@ def links(nodes: DataFrame, lanes: int = 1, segments: int = SEGMENTS, distance:
         split = keyed.join(hot, "key", "left_semi").withColumn("second", F.explode(_second_variants(lanes, segments, distance)))
         split = split.select(F.xxhash64("key", "second").alias("key"), "node", *names)
         keyed = keyed.join(hot, "key", "left_anti").unionByName(split)
-    near = keyed.repartition("key").sortWithinPartitions("key")
+    # by node too: a cluster's star has its smallest node as the centre, which buckets of one group share, so edges repeat and go
+    near = keyed.repartition("key").sortWithinPartitions("key", "node")
     return near.mapInArrow(run, "a long, b long")
 
 
