@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscope.functions import clean, median, safe_corr
+from gridscope.functions import clean, median, safe_corr, steady_mean
 from gridscope.operators.windows import gap_clusters
 
 
@@ -286,7 +286,7 @@ def phase_curve(points: DataFrame, truth: str, error: str, bins: int, least: int
     """Mean error against the true centre's place inside its pixel, bins of enough rows only."""
     phase = F.col(truth) - F.rint(F.col(truth))
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((phase + 0.5) * bins).cast("int")))
-    return points.groupBy(*group, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(error).alias("mean")).where(F.col("n") >= least)
+    return points.groupBy(*group, b.alias("bin")).agg(F.count("*").alias("n"), steady_mean(F.col(error)).alias("mean")).where(F.col("n") >= least)
 
 
 def band_noise(pairs: DataFrame, columns: int, group: Sequence[str]) -> DataFrame:

@@ -198,3 +198,12 @@ def test_smoothing_passes_over_missing(spark):
     d = spark.createDataFrame([(0, 1.0), (1, None), (2, 3.0)], "b long, v double")
     got = {r.b: r.smooth for r in windows.gaussian_smooth(d, "v", "b", 1.0).collect()}
     assert got[1] == pytest.approx(2.0) and 1 < got[0] < 2
+
+
+def test_phase_curve_is_the_same_in_any_order(spark):
+    d = [0.1] * 10  # as floats they add up to 0.9999999999999999
+    got = stats.phase_curve(spark.createDataFrame([("g", 3.2, v) for v in d], "g string, x double, e double").coalesce(1), "x", "e", 20, 1, ["g"])
+    assert rows(got, "bin", "n", "mean") == [(14, 10, 0.1)]
+    mixed = [1e300, 1.0, None, float("nan"), float("inf")]
+    means = spark.createDataFrame([(i, v) for i, v in enumerate(mixed)], "g int, e double").groupBy("g").agg(fn.steady_mean(F.col("e")).alias("m"))
+    assert [str(r.m) for r in means.orderBy("g").collect()] == ["1e+300", "1.0", "None", "nan", "inf"]
