@@ -97,9 +97,10 @@ def lomb_scargle(samples: DataFrame, x: str, y: str, frequencies: DataFrame, gro
     return g.select(*group, "frequency", power.alias("power"), F.try_divide(F.lit(1.0), F.col("frequency")).alias("period"))
 
 
-def apply_shift(pixels: DataFrame, dy: float, dx: float, width: int, height: int, order: int = 1, fill: float = 0.0) -> DataFrame:
+def apply_shift(pixels: DataFrame, dy: float, dx: float, width: int | None = None, height: int | None = None, order: int = 1, fill: float = 0.0) -> DataFrame:
     """Pages moved by (dy, dx): out(y, x) = in(y - dy, x - dx), bilinear or nearest; outside is the fill.
 
+    Outside is what lies beyond the width and height; without them a page has whatever pixels it has.
     Each source pixel goes to the at most four places it adds to; no self-join.
     """
     if order == 0:
@@ -109,7 +110,9 @@ def apply_shift(pixels: DataFrame, dy: float, dx: float, width: int, height: int
     taps = [(i, j, (ty if i else 1 - ty) * (tx if j else 1 - tx)) for i in (0, 1) for j in (0, 1)]
     t = F.explode(F.array(*[F.struct(F.lit(fy + i).alias("i"), F.lit(fx + j).alias("j"), F.lit(float(w)).alias("w")) for i, j, w in taps if w])).alias("t")
     out = pixels.select("page", "x", "y", "v", t).select("page", (F.col("x") + F.col("t.j")).alias("x"), (F.col("y") + F.col("t.i")).alias("y"), (F.col("v") * F.col("t.w")).alias("v"), F.col("t.w").alias("w"))
-    out = out.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).groupBy("page", "x", "y").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    for c, size in (("x", width), ("y", height)):
+        out = out if size is None else out.where(F.col(c).between(0, size - 1))
+    out = out.groupBy("page", "x", "y").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
     every = pixels.select("page", "x", "y").join(out, ["page", "x", "y"], "left")
     return every.select("page", "x", "y", F.when(F.col("w") > 1 - 1e-9, F.col("v")).otherwise(fill).alias("v"))
 

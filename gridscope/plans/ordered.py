@@ -468,7 +468,7 @@ def _(s, d):
 
 @query("q8_apply_shift", f"""WITH {PX}, s AS (SELECT page, x + j AS x, y + i AS y, v * wy * wx AS v, wy * wx AS w FROM px, (VALUES (1, 0.75::DOUBLE), (2, 0.25)) a(i, wy), (VALUES (-3, 0.5::DOUBLE), (-2, 0.5)) b(j, wx)), g AS (SELECT page, x, y, sum(v) AS v, sum(w) AS w FROM s GROUP BY ALL) SELECT px.page, px.x, px.y, round(CASE WHEN w > 1 - 1e-9 THEN g.v ELSE 0 END, 6) AS v FROM px LEFT JOIN g USING (page, x, y)""")
 def _(s, d):
-    return r6(spectra.apply_shift(t.pixels(s, d), 1.25, -2.5, 64, 10_000), "v")
+    return r6(spectra.apply_shift(t.pixels(s, d), 1.25, -2.5), "v")
 
 
 @query("q9_overlap_rmse", f"WITH {PX} SELECT a.page, round(sqrt(avg((a.v - b.v) * (a.v - b.v))), 6) AS rmse, count(*) AS n FROM px a JOIN px b ON a.page = b.page AND a.x = b.x + 2 AND a.y = b.y - 1 GROUP BY 1")
