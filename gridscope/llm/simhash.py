@@ -457,7 +457,8 @@ def drop_near_duplicates(
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     low = keyed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = keyed.join(low, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
-    near = scratch.save(links(nodes.select("node", *names), lanes, segments, distance), "near")
+    # many buckets of a group give the same edge: once is enough for the joins below, at most one a node and bucket is left
+    near = scratch.save(links(nodes.select("node", *names), lanes, segments, distance).distinct(), "near")
     members = nodes.join(connected_components(near.unionByName(shared.distinct())), "node").select("node", "root", "first_id")
     members = scratch.save(members, "members")
     texts = src.join(members, src["id"] == members["first_id"]).select("node", "root", "text")

@@ -207,3 +207,22 @@ def test_dedup_stage_on_chains_and_repeated_ids(spark):
     assert kept.columns == d.columns
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(50, rows[0][1]), (99, "lone"), (None, "lone"), (None, None)], key=str)
+
+
+def test_dedup_stage_holds_each_link_once(spark, monkeypatch):
+    """Near copies meet in many buckets, which give the same links again."""
+    rng = np.random.default_rng(10)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 300)]
+    rows, saved, save = [], {}, simhash.scratch.save
+    for i in range(60):
+        w = list(base)
+        w[int(rng.integers(300))] = f"x{i}"
+        rows.append((i, " ".join(w), "en"))
+    monkeypatch.setattr(simhash.scratch, "save", lambda df, name: saved.setdefault(name, save(df, name)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # as where a group's buckets lie in many batches
+    try:
+        assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    near = saved["near"].collect()
+    assert len(near) == len(set(near)) >= 59
