@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -112,3 +113,8 @@ def rounded(x: Column | str, digits: int) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     scale = float(10**digits)
     return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + F.lit(0.0)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df by checkpoint() if the session names a checkpoint folder, else cached: for small tables of iterations."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist(StorageLevel.MEMORY_AND_DISK)

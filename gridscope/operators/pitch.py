@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridscope.functions import clean, median
+from gridscope.functions import clean, materialised, median
 from gridscope.operators.joins import lattice_neighbours
 from gridscope.operators.spatial import nearest_k
-from gridscope.operators.stats import interval_profile, residual_map, robust_pitch
+from gridscope.operators.stats import interval_profile, quantiles, residual_map, robust_pitch
 from gridscope.operators.windows import gaussian_smooth, gap_clusters, integrate, running_mean_lines
 
 
@@ -45,38 +45,44 @@ def index_pitch(points: DataFrame, start: DataFrame, rounds: int = 2, trim: floa
     percentile of the coordinates.  Each round fits both axes to the points kept so far
     and then keeps those within ``trim`` pitches of both fits.  Groups with fewer than three
     points left, and an axis whose points all have one index, keep what they had.
+    Only the groups' rows are kept between rounds; points are read once a round.
     """
-    by = list(group)
+    by, base = list(group), points.select(*group, "x", "y")
 
     def meet(rows: DataFrame, small: DataFrame) -> DataFrame:
         return rows.join(small, by) if by else rows.crossJoin(F.broadcast(small))  # one row
 
-    first = points.groupBy(*by).agg(F.percentile("x", 0.05).alias("__x0"), F.percentile("y", 0.05).alias("__y0"))
-    now = meet(start.select(*by, "pitch_x", "pitch_y"), first).withColumns({"ox": F.col("__x0"), "oy": F.col("__y0"), "kept": F.lit(None).cast("long")})
-    rows = points.select(*by, "x", "y").withColumn("__keep", F.lit(True))
-    for _ in range(rounds):
-        p = meet(rows, now.select(*by, "pitch_x", "pitch_y", "__x0", "__y0"))
+    def index(c: str, k: int | None = None) -> Column:
+        return residual_to_grid(F.col(c), F.col(f"pitch_{c}" if k is None else f"__p{k}{c}"), F.col(f"__{c}0"))[0].cast("double")
+
+    def kept(rounds: int) -> Column:
+        """Whether all rounds so far keep a point: their fits lie in its group's row, so points are never written."""
+        keep = F.lit(True)
+        for k in range(rounds):
+            within = F.lit(True)
+            for c in "xy":
+                left = F.abs(F.col(c) - (F.col(f"__c{k}{c}") + F.col(f"__s{k}{c}") * index(c, k)))
+                within = within & F.coalesce(left <= F.abs(f"__s{k}{c}") * trim, F.lit(True))
+            keep = keep & (within | (F.col(f"__n{k}") < 3))
+        return keep
+
+    first = quantiles(base, ["x", "y"], 0.05, by).select(*by, F.col("x").alias("__x0"), F.col("y").alias("__y0"))
+    now = materialised(meet(start.select(*by, "pitch_x", "pitch_y"), first).withColumns({"ox": F.col("__x0"), "oy": F.col("__y0")}))
+    for k in range(rounds):
+        p = meet(base, now).withColumns({f"__i{c}": index(c) for c in "xy"}).withColumn("__keep", kept(k))
+        keep, few = F.col("__keep"), F.count_if("__keep") < 3
+        aggs = [F.count_if(keep).alias(f"__n{k}")]
         for c in "xy":
-            p = p.withColumn(f"__i{c}", residual_to_grid(F.col(c), F.col(f"pitch_{c}"), F.col(f"__{c}0"))[0].cast("double"))
-        kept = F.col("__keep")
-        aggs = [F.count_if(kept).alias("__n")]
-        for c in "xy":
-            i, v = F.when(kept, F.col(f"__i{c}")), F.when(kept, F.col(c))
-            fine = (F.min(i) < F.max(i)) & (F.count_if(kept) >= 3)
-            aggs += [F.when(fine, F.regr_slope(v, i)).alias(f"__s{c}"), F.when(fine, F.regr_intercept(v, i)).alias(f"__c{c}")]
-        fit = p.groupBy(*by).agg(*aggs)
-        p = meet(p, fit)
-        within = F.lit(True)
-        for c in "xy":
-            left = F.abs(F.col(c) - (F.col(f"__c{c}") + F.col(f"__s{c}") * F.col(f"__i{c}")))
-            within = within & F.coalesce(left <= F.abs(f"__s{c}") * trim, F.lit(True))
-        rows = p.select(*by, "x", "y", (kept & (within | (F.col("__n") < 3))).alias("__keep"))
-        now = meet(now.drop("kept"), fit)
-        now = now.select(
-            *by, "__x0", "__y0", *[F.coalesce(f"__s{c}", f"pitch_{c}").alias(f"pitch_{c}") for c in "xy"], *[F.coalesce(f"__c{c}", f"o{c}").alias(f"o{c}") for c in "xy"]
-        )
-        now = meet(now, rows.groupBy(*by).agg(F.count_if("__keep").alias("kept")))
-    return now.select(*by, "pitch_x", "pitch_y", "ox", "oy", "kept")
+            i, v = F.when(keep, F.col(f"__i{c}")), F.when(keep, F.col(c))
+            fine = (F.min(i) < F.max(i)) & ~few
+            aggs += [F.when(fine, F.regr_slope(v, i)).alias(f"__s{k}{c}"), F.when(fine, F.regr_intercept(v, i)).alias(f"__c{k}{c}")]
+        now = meet(now, p.groupBy(*by).agg(*aggs)).withColumns({f"__p{k}{c}": F.col(f"pitch_{c}") for c in "xy"})
+        new = {f"pitch_{c}": F.coalesce(f"__s{k}{c}", f"pitch_{c}") for c in "xy"} | {f"o{c}": F.coalesce(f"__c{k}{c}", f"o{c}") for c in "xy"}
+        now = materialised(now.withColumns(new))
+    out = now.select(*by, "pitch_x", "pitch_y", "ox", "oy")
+    if not rounds:
+        return out.withColumn("kept", F.lit(None).cast("long"))
+    return meet(out, meet(base, now).groupBy(*by).agg(F.count_if(kept(rounds)).alias("kept")))
 
 
 def line_pitches(points: DataFrame, tol: float = 1.5, least: int = 3, group: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,23 @@ from gridscope.functions import clean, median, safe_corr, steady_mean
 from gridscope.operators.windows import gap_clusters
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], q: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, columns): exact quantiles with linear interpolation, as F.percentile gives them, by counting and sorting values.
+
+    F.percentile holds a group's distinct values in a map of one task; these are sorted and spilled.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("e")
+    counts = df.select(*group, each).select(*group, "e.i", "e.v").groupBy(*group, "i", "v").agg(F.count("v").alias("n"))
+    w = Window.partitionBy(*group, "i").orderBy("v")  # nulls come first and count nothing
+    ranks = counts.withColumn("stop", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranks = ranks.withColumn("at", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - 1) * q)
+    holds = lambda k: F.max(F.when((F.col("stop") - F.col("n") <= k) & (k < F.col("stop")), F.col("v")))
+    low, high = F.floor("at"), F.ceil("at")
+    got = ranks.groupBy(*group, "i").agg(holds(low).alias("a"), holds(high).alias("b"), F.first("at").alias("at"))
+    v = F.when(low == high, F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("b"))
+    return got.groupBy(*group).agg(*[F.max(F.when(F.col("i") == i, v)).alias(c) for i, c in enumerate(columns)])
+
+
 def component_stats(labels: DataFrame) -> DataFrame:
     """Box, area and centroid of each label of each page; label 0 is the background."""
     x, y = F.col("x"), F.col("y")

@@ -207,3 +207,21 @@ def test_phase_curve_is_the_same_in_any_order(spark):
     mixed = [1e300, 1.0, None, float("nan"), float("inf")]
     means = spark.createDataFrame([(i, v) for i, v in enumerate(mixed)], "g int, e double").groupBy("g").agg(fn.steady_mean(F.col("e")).alias("m"))
     assert [str(r.m) for r in means.orderBy("g").collect()] == ["1e+300", "1.0", "None", "nan", "inf"]
+
+
+def test_quantiles_are_sorted_not_gathered(spark, monkeypatch):
+    data = [(g, v if v % 7 else None, float(v * v % 13)) for g in "ab" for v in map(float, range(50))] + [("c", 5.0, None), ("d", None, float("nan"))]
+    d = spark.createDataFrame(data, "g string, x double, y double")
+    for q in (0.0, 0.05, 0.5, 0.93, 1.0):
+        want = d.groupBy("g").agg(F.percentile("x", q).alias("x"), F.percentile("y", q).alias("y"))
+        assert str(rows(stats.quantiles(d, ["x", "y"], q, ["g"]), "g", "x", "y")) == str(rows(want, "g", "x", "y"))
+    assert rows(stats.quantiles(d, ["x"], 0.5), "x") == rows(d.agg(F.percentile("x", 0.5).alias("x")), "x")
+
+    def gathers(*_):
+        raise AssertionError("a group's distinct values in one map")
+
+    p = points(spark, [(i, 10 + 1.5 * i + 0.01 * (i % 3), 2.0 * (i % 4)) for i in range(40)])
+    start = spark.createDataFrame([(1.5, 2.0)], "pitch_x double, pitch_y double")
+    monkeypatch.setattr(F, "percentile", gathers)
+    r = pitch.index_pitch(p, start).first()
+    assert abs(r.pitch_x - 1.5) < 1e-3 and r.kept == 40 and pitch.index_pitch(p, start, rounds=0).first().kept is None
