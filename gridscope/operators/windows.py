@@ -189,13 +189,17 @@ def first_by(df: DataFrame, group: Sequence[str], order: Sequence[str | Column])
 
 
 def interpolate(samples: DataFrame, wanted: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
-    """Linear interpolation at wanted x, clamped to the end values: brackets found by one union and two windows."""
+    """Linear interpolation at wanted x, clamped to the end values: brackets found by one union and two windows.
+
+    Both windows run from a group's end to the row, so that a row costs the same in a group of any size; of samples
+    at one x the smallest y bounds what lies before it, the largest what lies after.
+    """
     both = samples.where(finite(F.col(x)) & finite(F.col(y))).select(*group, F.col(x).alias("x"), F.col(y).alias("y"), F.lit(False).alias("__ask"))
     both = both.unionByName(wanted.select(*group, F.col(x).alias("x"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("__ask")))
-    w = Window.partitionBy(*group).orderBy("x", "__ask")
+    up = Window.partitionBy(*group).orderBy("x", "__ask", "y").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*group).orderBy(F.desc("x"), F.desc("__ask"), F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(~F.col("__ask"), F.struct("x", "y"))
-    b = both.withColumn("__a", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("__b", F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("__ask")
+    b = both.withColumn("__a", F.last(point, True).over(up)).withColumn("__b", F.last(point, True).over(down)).where("__ask")
     lo, hi = F.coalesce("__a", "__b"), F.coalesce("__b", "__a")
     t = F.coalesce(F.try_divide(F.col("x") - lo["x"], hi["x"] - lo["x"]), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
