@@ -31,14 +31,15 @@ def median(x: Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
-def steady_mean(x: Column) -> Column:
-    """Mean whose last digit doesn't depend on the order of the rows: exact decimal sums of the shortest decimals.
-
-    Rows that 38 digits, 24 of them behind the point, don't hold exactly leave the plain mean.
-    """
+def exact_sum(x: Column) -> Column:
+    """Decimal sum of the numbers' shortest decimals; null if 38 digits, 24 of them behind the point, don't hold all of them exactly."""
     d = x.cast("double").try_cast("decimal(38,24)")
-    exact = (F.try_sum(d) / F.count(d)).cast("double")
-    return F.coalesce(F.when(F.count_if(d.cast("double") == x) == F.count(x), exact), F.avg(x))
+    return F.when(F.count_if(d.cast("double") == x) == F.count(x), F.try_sum(d))
+
+
+def steady_mean(x: Column) -> Column:
+    """Mean whose last digit doesn't depend on the order of the rows, by exact_sum; the plain mean where that is null."""
+    return F.coalesce((exact_sum(x) / F.count(x)).cast("double"), F.avg(x))
 
 
 def calibrated(value: Column, pixel_size: float, power: int = 1, valid: Column | None = None) -> Column:

@@ -235,3 +235,34 @@ def test_interpolation_costs_the_same_in_large_groups(spark):
     want = [("a", -1.0, 1.0), ("a", 0.0, 1.0), ("a", 1.0, 3.0), ("a", 2.0, 9.0), ("a", 3.0, 5.0), ("a", 4.0, 1.0), ("a", 9.0, 1.0), ("b", 0.0, 7.0), ("b", 2.0, 7.0), ("c", 1.0, None)]
     assert rows(got, "g", "x", "y") == want
     assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_dedupe_of_dense_points_makes_no_pairs_of_all(spark, monkeypatch):
+    """Equal to brute force on blobs, chains and gaps about eps wide, while no more pairs are made than cells have."""
+    import random
+
+    r = random.Random(3)
+    data = [(i, r.uniform(0, 9), r.uniform(0, 9), "sparse") for i in range(150)]
+    data += [(1000 + i, r.gauss(5 * (i % 6), 0.5), r.gauss(0, 0.5), "dense") for i in range(360)]
+    data += [(2000 + i, 1.0 * i, 0.0, "chain") for i in range(30)] + [(3000 + i, 1.0000001 * i, 0.0, "apart") for i in range(30)] + [(4000 + i, 0.1, 0.1, None) for i in range(3)]
+    root = {d[0]: d[0] for d in data}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, x, y, g) in enumerate(data):
+        for j, u, v, h in data[:k]:
+            if g is not None and g == h and (x - u) * (x - u) + (y - v) * (y - v) <= 1:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {}
+    for i, *_ in data:
+        want[top(i)] = want.get(top(i), 0) + 1
+    monkeypatch.setattr(spatial, "radius_pairs", None)  # all pairs within eps
+    got = spatial.dedupe(points(spark, data, ", g string"), 1.0, ["g"]).collect()
+    assert {q.root: q.n for q in got} == want and len(got) == len(want) > 30
+    for q in got:
+        mine = [d for d in data if top(d[0]) == q.root]
+        assert abs(q.x - sum(d[1] for d in mine) / q.n) < 1e-9 and abs(q.y - sum(d[2] for d in mine) / q.n) < 1e-9
