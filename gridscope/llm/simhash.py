@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridscope import ship
 from gridscope.llm import scratch
-from gridscope.llm.components import connected_components
+from gridscope.llm.components import connected_components, through_lowest
 
 SHINGLE = 4
 MAX_DISTANCE = 4
@@ -272,7 +272,7 @@ def near_duplicates(
     node = F.col("fp0") if lanes == 1 else F.xxhash64(*names)
     nodes = prints.groupBy(*names).agg(F.min("id").alias("first_id")).withColumn("node", node)
     nodes = scratch.save(nodes, "nodes")
-    roots = connected_components(links(nodes, lanes, segments, distance))
+    roots = connected_components(through_lowest(links(nodes, lanes, segments, distance)))
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = scratch.save(labelled, "labelled")  # tables of their own, so that a hot component can be split in the join
     low = scratch.save(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
@@ -457,9 +457,10 @@ def drop_near_duplicates(
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     low = keyed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = keyed.join(low, "bucket").where("a <> node").select("a", F.col("node").alias("b"))
-    # many buckets of a group give the same edge: once is enough for the joins below, at most one a node and bucket is left
+    # many buckets of a group give the same edge: once is enough for the joins on strays below, at most one a node and bucket is left;
+    # the joins of components get about one a node
     near = scratch.save(links(nodes.select("node", *names), lanes, segments, distance).distinct(), "near")
-    members = nodes.join(connected_components(near.unionByName(shared.distinct())), "node").select("node", "root", "first_id")
+    members = nodes.join(connected_components(through_lowest(near.unionByName(shared))), "node").select("node", "root", "first_id")
     members = scratch.save(members, "members")
     texts = src.join(members, src["id"] == members["first_id"]).select("node", "root", "text")
     sets = _save_in_batches(_sets(texts, shingle).dropDuplicates(["node"]), "sets")
@@ -474,7 +475,7 @@ def drop_near_duplicates(
         mixed = scratch.save(mixed.join(stray.withColumn("stray", F.lit(True)), "node", "left").select("node", F.coalesce("stray", F.lit(False)).alias("stray")), "mixed")
         buckets = scratch.save(keyed.join(mixed, "node").distinct(), "buckets")
         alike = alike.unionByName(by_print).unionByName(_save_in_batches(_exact_edges(buckets, sets), "cells"))
-    parts = connected_components(alike).withColumnRenamed("root", "part")
+    parts = connected_components(through_lowest(alike)).withColumnRenamed("root", "part")
     found = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     keep_id = scratch.fresh(docs, "keep_id")
     keep = found.groupBy("part").agg(F.min("first_id").alias(keep_id)).select(keep_id).distinct()

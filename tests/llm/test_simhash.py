@@ -3,8 +3,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from gridscope.llm import components as components_module
 from gridscope.llm import simhash
-from gridscope.llm.components import connected_components
+from gridscope.llm.components import connected_components, through_lowest
 
 KIND = "doc_id long, text string, id string, fp0 string"  # clashing names of other columns
 
@@ -226,3 +227,39 @@ def test_dedup_stage_holds_each_link_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     near = saved["near"].collect()
     assert len(near) == len(set(near)) >= 59
+
+
+def test_through_lowest_keeps_components(spark):
+    rng = np.random.default_rng(11)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i + 1, i) for i in range(500, 560)] + [(700, i) for i in range(600, 700)]
+    d = spark.createDataFrame([*e, *e[:50], (7, 7), (None, 3), (3, None)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(through_lowest(d)).collect()}
+    want = {r.node: r.root for r in connected_components(d).collect()}
+    assert got == {n: r for n, r in want.items() if n in got} and all(n == r for n, r in want.items() if n not in got)
+    assert all(got[i] == 600 for i in range(600, 701)) and all(got[i] == 500 for i in range(500, 561))
+    assert through_lowest(d.where("false")).count() == 0
+
+
+def test_dedup_stage_gives_components_about_one_link_a_node(spark, monkeypatch):
+    """A group's members meet in many buckets with different centres; their links are contracted before the rounds join them."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 300)]
+    rows, given = [], []
+    for i in range(200):
+        w = list(base)
+        for at in rng.integers(0, 300, 3):
+            w[int(at)] = f"x{i}-{at}"
+        rows.append((i, " ".join(w), "en"))
+    monkeypatch.setattr(simhash, "connected_components", lambda e: given.append(e.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count()) or connected_components(e))
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 1
+    assert 199 <= given[0] <= 400  # 3,479 links, up to one a node and bucket, without
+
+
+def test_components_join_once_a_star(spark, monkeypatch):
+    """What is joined isn't computed again for the minima of what the join gives."""
+    joins, save_at = [], components_module.scratch.save_at
+    monkeypatch.setattr(
+        components_module.scratch, "save_at", lambda df, path: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or save_at(df, path)
+    )
+    connected_components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    assert max(joins) == 1
